@@ -46,6 +46,10 @@ def same(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(False))
 
 
+def _equals(value: Column) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 @dataclass(frozen=True)
 class Ballot:
     """The votes of one row and the staged results the strategies work on."""
@@ -95,7 +99,7 @@ def tally(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None = N
     top = _max([F.col(c) for c in counts])
     if len(votes) > _UNROLLED:
         seats = F.array(*votes)
-        counts = {f"{_PREFIX}n{i}": F.size(F.filter(seats, lambda x, v=v: x == v))
+        counts = {f"{_PREFIX}n{i}": F.size(F.filter(seats, _equals(v)))
                   for i, v in enumerate(votes)}
         firsts = {f"{_PREFIX}f{i}": v.isNotNull() & (F.array_position(seats, v) == i + 1)
                   for i, v in enumerate(votes)}

@@ -86,7 +86,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.text_id("text").alias("text_id"),
         T.text_len("text").cast("int").alias("text_len"),
         F.col("source").alias("dataset"),
-        F.format_string("2026-01-%02d_08-00-00", F.col("doc_id") % 5 + 1).alias("run_id"),
+        F.format_string("2026-01-%02d_08-00-00", digits("run", key, 1) % 5 + 1).alias("run_id"),
         F.when(F.col("doc_id") % 50 != 0, gt0).alias("ground_truth"),
         F.explode(F.array(F.struct(*seats))).alias("drawn"),
     ).select("doc_id", "text", "text_id", "text_len", "dataset", "run_id", "ground_truth",
@@ -141,7 +141,7 @@ _GT0 = "cast(case lang when 'de' then 0 when 'en' then 1 when 'es' then 2 else 3
 VOTES_SQL = f"""
 d0 AS (SELECT doc_id, text, source AS dataset, md5({sql_strip('text')}) AS text_id,
               cast(length(text) as int) AS text_len, {_GT0} AS gt0,
-              printf('2026-01-%02d_08-00-00', doc_id % 5 + 1) AS run_id
+              printf('2026-01-%02d_08-00-00', {sql_digits('run', 1)} % 5 + 1) AS run_id
        FROM documents),
 v AS (SELECT doc_id, text, text_id, text_len, dataset, run_id,
              case when doc_id % 50 <> 0 then gt0 end AS ground_truth,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from accordant.functions import tails
 from accordant.functions.coding import products
+from accordant.operators.joins import measured, null_safe_join
 
 
 def treatment_means(df: DataFrame, response: str, by: Sequence[str] = ("treatment",)) -> DataFrame:
@@ -93,15 +94,19 @@ def effect_contrast(effects: DataFrame, name: str, weights: Mapping[str, float],
 
 
 def _level_sums(df: DataFrame, response: str, factor: str) -> DataFrame:
+    """One row per level, kept because the table and the levels are both derived from it."""
     y = F.col(response)
-    return df.filter(y.isNotNull()).groupBy(F.col(factor).alias("level")).agg(
-        F.count(y).alias("r"), F.avg(y).alias("mean"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
+    return measured(df.filter(y.isNotNull()).groupBy(F.col(factor).alias("level")).agg(
+        F.count(y).alias("r"), F.avg(y).alias("mean"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")))
 
 
 def anova_table(df: DataFrame, response: str, factor: str, *, confidence: float = 0.95,
                 inference: bool = True) -> DataFrame:
     """One-way ANOVA with unequal replicates, as one row of sums of squares and F."""
-    levels = _level_sums(df, response, factor)
+    return _anova(_level_sums(df, response, factor), confidence, inference)
+
+
+def _anova(levels: DataFrame, confidence: float = 0.95, inference: bool = False) -> DataFrame:
     n, a = F.sum("r"), F.count(F.lit(1))
     one = levels.agg(n.alias("n"), a.alias("levels"), F.sum("sy").alias("sy"), F.sum("syy").alias("ssy"),
                      F.sum(F.col("sy") * F.col("sy") / F.col("r")).alias("between"))
@@ -127,7 +132,7 @@ def anova_levels(df: DataFrame, response: str, factor: str, *, confidence: float
                  inference: bool = True) -> DataFrame:
     """Level means and effects; with ``inference`` also the intervals of both."""
     levels = _level_sums(df, response, factor)
-    table = anova_table(df, response, factor, inference=False)
+    table = _anova(levels)
     joined = levels.select("level", "r", "mean").withColumns(
         {c: table.select(c).scalar() for c in ("mu", "mse", "df_e", "n")})
     out = joined.withColumn("effect", F.col("mean") - F.col("mu"))
@@ -149,14 +154,19 @@ def level_differences(df: DataFrame, response: str, factor: str, *, confidence:
                       inference: bool = True) -> DataFrame:
     """Differences of level means for every pair of levels.
 
-    Pairs are formed from the level table, which has one row per level of the factor.
+    The level table is folded into one sorted array (one entry per level) and paired there.
     """
-    levels = _level_sums(df, response, factor).select("level", "r", "mean")
-    other = levels.toDF("level_2", "r_2", "mean_2")
-    mse, dfe = (anova_table(df, response, factor, inference=False).select(c).scalar() for c in ("mse", "df_e"))
-    pairs = levels.join(other, F.col("level") < F.col("level_2")).select(
-        F.col("level").alias("level_1"), "level_2", (F.col("mean") - F.col("mean_2")).alias("difference"),
-        (F.sqrt(mse) * F.sqrt(1.0 / F.col("r") + 1.0 / F.col("r_2"))).alias("std_error"), dfe.alias("df_e"))
+    sums = _level_sums(df, response, factor)
+    levels = sums.agg(
+        F.sort_array(F.collect_list(F.struct("level", "r", "mean"))).alias("v"))
+    v = F.col("v")
+    both = F.flatten(F.transform(v, lambda x, i: F.transform(
+        F.slice(v, i + 2, F.size(v)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    mse, dfe = (_anova(sums).select(c).scalar() for c in ("mse", "df_e"))
+    pairs = levels.select(F.explode(both).alias("p")).select(
+        F.col("p.a.level").alias("level_1"), F.col("p.b.level").alias("level_2"),
+        (F.col("p.a.mean") - F.col("p.b.mean")).alias("difference"),
+        (F.sqrt(mse) * F.sqrt(1.0 / F.col("p.a.r") + 1.0 / F.col("p.b.r"))).alias("std_error"), dfe.alias("df_e"))
     if not inference:
         return pairs
     half = tails.t_critical(F.col("df_e"), confidence) * F.col("std_error")
@@ -168,8 +178,6 @@ def level_differences(df: DataFrame, response: str, factor: str, *, confidence:
 
 def residuals(df: DataFrame, response: str, group: str, out: str = "residual") -> DataFrame:
     """Response minus its group mean, by a join on the group table so no group is gathered."""
-    from accordant.operators.joins import measured, null_safe_join
-
     means = measured(df.groupBy(group).agg(F.avg(response).alias("__mean")))
     return null_safe_join(df, means, [group]).withColumn(
         out, F.col(response) - F.col("__mean")).drop("__mean")
@@ -199,8 +207,6 @@ def durbin_watson(df: DataFrame, residual: str, order: str, buckets: int = 1024)
 
 def levene(df: DataFrame, response: str, group: str, *, inference: bool = True) -> DataFrame:
     """Levene's test around the group median: an ANOVA of absolute deviations."""
-    from accordant.operators.joins import measured, null_safe_join
-
     centres = measured(df.groupBy(group).agg(F.median(response).alias("__median")))
     spread = null_safe_join(df, centres, [group]).withColumn(
         "__dev", F.abs(F.col(response) - F.col("__median")))

@@ -103,7 +103,7 @@ def exclude_unlabeled(spark, sf_dir):
 def bio_is(spark, sf_dir):
     """Reduction, removals and weak-classifier scores over the deduplicated table."""
     rows = deduped(spark, sf_dir).select("text_id", "text", "resolved_annotation", "consensus_level", "ground_truth")
-    selected, report = S.filter_annotations(rows, dims=1 << 14)
+    selected, report = S.filter_annotations(rows, dims=1 << 12)
     path = fresh_path(spark, "selection")
     artefacts.write_selection(selected, report, path)
     return spark.read.json(f"{path}/report")

@@ -47,6 +47,15 @@ def remaining_texts(texts: DataFrame, done: DataFrame, key: str = "text_id") ->
     return drop_ids(texts, done, key)
 
 
+def remove_annotated_texts(texts: DataFrame, done: DataFrame, text: str = "text") -> DataFrame:
+    """Texts that do not occur verbatim among the annotated ones.
+
+    Matched by the md5 of the raw text, so that the shuffle key is short whatever the text.
+    """
+    ids = done.select(F.md5(F.col(text)).alias("__raw"))
+    return drop_ids(texts.withColumn("__raw", F.md5(F.col(text))), ids, "__raw").drop("__raw")
+
+
 def train_rows(folds: DataFrame, annotated: DataFrame, key: str = "text_id") -> DataFrame:
     """Annotated rows of every fold's training ids, all folds in one join."""
     wanted = folds.filter(F.col("split") == "train").select("fold", key).distinct()

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from accordant.functions.tails import chi2_sf
+from accordant.operators.joins import measured
 
 
 def describe(df: DataFrame, meanings: Mapping[str, str] | DataFrame, label: str = "label",
@@ -16,7 +17,7 @@ def describe(df: DataFrame, meanings: Mapping[str, str] | DataFrame, label: str
     if isinstance(meanings, DataFrame):
         named = meanings.select(F.col(meanings.columns[0]).cast("string").alias("__label"),
                                 F.col(meanings.columns[1]).alias(out))
-        return df.join(named, F.col(label).cast("string") == F.col("__label"), "left").drop("__label")
+        return df.join(measured(named), F.col(label).cast("string") == F.col("__label"), "left").drop("__label")
     if not meanings:
         return df.withColumn(out, F.lit(None).cast("string"))
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(meanings.items())])
@@ -31,11 +32,9 @@ def label_schema(df: DataFrame) -> DataFrame:
 
 def encode(df: DataFrame, label: str, out: str = "class_index") -> DataFrame:
     """Add the 0-based position of the label among the sorted distinct labels."""
-    from pyspark.sql import Window
-
     codes = df.select(label).filter(F.col(label).isNotNull()).distinct().withColumn(
         out, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(codes, label, "left")
+    return df.join(measured(codes), label, "left")
 
 
 def infer_categories(df: DataFrame, columns: Sequence[str], invalid: int | None = -1) -> DataFrame:

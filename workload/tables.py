@@ -116,7 +116,7 @@ SELECT doc_id, md5(text) AS raw_id FROM documents WHERE text NOT IN (SELECT text
 def remove_by_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return J.drop_ids(docs, done, "text").select("doc_id", F.md5("text").alias("raw_id"))
+    return J.remove_annotated_texts(docs, done).select("doc_id", F.md5("text").alias("raw_id"))
 
 
 @register("id_overlap", with_votes("""

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from accordant.functions import text as T
 from accordant.operators.dedup import keep_first, require_unique
+from accordant.operators.joins import distinct_keys
 
 
 def attach_truth(annotations: DataFrame, truth: DataFrame, order: str, key: str = "text_id",
                  column: str = "ground_truth") -> DataFrame:
     """Left join of the first truth per key."""
-    first = keep_first(truth.select(key, order, column), key, order).select(key, column)
+    wanted = list(dict.fromkeys([key, order, column]))
+    first = keep_first(truth.select(*wanted), key, order).select(key, column)
     return annotations.join(first, key, "left")
 
 
@@ -30,11 +32,11 @@ def align_one_to_one(truth: DataFrame, annotated: DataFrame, truth_label: str,
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str = "text_id") -> DataFrame:
-    return df.join(ids.select(key).distinct(), key, "left_semi")
+    return df.join(distinct_keys(ids, key), key, "left_semi")
 
 
 def drop_ids(df: DataFrame, ids: DataFrame, key: str = "text_id") -> DataFrame:
-    return df.join(ids.select(key).distinct(), key, "left_anti")
+    return df.join(distinct_keys(ids, key), key, "left_anti")
 
 
 def drop_invalid(df: DataFrame, label: str = "label", key: str = "text_id", invalid: int = -1) -> DataFrame:
@@ -58,7 +60,7 @@ def remove_annotated_texts(texts: DataFrame, done: DataFrame, text: str = "text"
 
 def train_rows(folds: DataFrame, annotated: DataFrame, key: str = "text_id") -> DataFrame:
     """Annotated rows of every fold's training ids, all folds in one join."""
-    wanted = folds.filter(F.col("split") == "train").select("fold", key).distinct()
+    wanted = distinct_keys(folds.filter(F.col("split") == "train"), "fold", key)
     return annotated.join(wanted, key)
 
 
@@ -76,7 +78,7 @@ def split_coverage(folds: DataFrame, annotated: DataFrame, key: str = "text_id")
 
 def without_leakage(evaluation: DataFrame, train: DataFrame, key: str = "text_id") -> DataFrame:
     """Evaluation rows whose id is not in the training rows of the same fold."""
-    return evaluation.join(train.select("fold", key).distinct(), ["fold", key], "left_anti")
+    return evaluation.join(distinct_keys(train, "fold", key), ["fold", key], "left_anti")
 
 
 def align_folds(folds: DataFrame, annotated: DataFrame, key: str = "text_id",

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from accordant.operators.joins import rejoin_keys
+
 
 def keep_first(df: DataFrame, key: str, order: str | Column | Sequence[str]) -> DataFrame:
     """One row per key: the first in the given explicit order.
@@ -15,12 +17,12 @@ def keep_first(df: DataFrame, key: str, order: str | Column | Sequence[str]) ->
     """
     rank = F.struct(*order) if isinstance(order, (list, tuple)) else order
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(row, rank).alias("__row")).select("__row.*")
+    return df.groupBy(*rejoin_keys(key)).agg(F.min_by(row, rank).alias("__row")).select("__row.*")
 
 
 def duplicate_groups(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, with their count."""
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+    return (df.groupBy(*rejoin_keys(key)).agg(F.count(F.lit(1)).alias("copies")).drop("__spread")
             .filter((F.col("copies") > 1) & F.col(key).isNotNull()))
 
 

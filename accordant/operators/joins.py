@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def measured(small: DataFrame) -> DataFrame:
@@ -29,3 +29,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = reduce(and_, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def rejoin_keys(*keys: str) -> list[Column]:
+    """Grouping columns for a table that is about to be joined by ``keys``.
+
+    AQE splits a hot partition only where both join inputs come straight from an exchange.
+    A table grouped by the join keys would keep its grouping's partitioning instead; grouping
+    by the keys and their hash gives the same groups and leaves the join its own exchange,
+    which moves one narrow row per key.
+    """
+    return [*[F.col(k) for k in keys], F.xxhash64(*keys).alias("__spread")]
+
+
+def distinct_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """The distinct keys of a table, ready to be joined to a side where a key may be hot."""
+    return df.select(*rejoin_keys(*keys)).distinct().drop("__spread")

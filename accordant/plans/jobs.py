@@ -31,7 +31,7 @@ class ConsensusReport:
 def annotation_job(texts: DataFrame, annotator: annotate.Annotator, models: Sequence[str], *, categories: Sequence[int],
                    meanings: Mapping[str, str], template: str = "base", description: str = "Text", reps: int = 1,
                    configs: Mapping[str, Mapping[str, Any]] | None = None, cache: str | None = None,
-                   truth: DataFrame | None = None, order: str | None = None,
+                   truth: DataFrame | None = None, truth_order: str = "ground_truth", order: str | None = None,
                    parallelism: int | None = None) -> DataFrame:
     """Texts to the wide annotation table: prompt, call or cache, parse, vote, join the truth."""
     keyed = texts.withColumn("text_id", T.text_id("text"))
@@ -48,7 +48,7 @@ def annotation_job(texts: DataFrame, annotator: annotate.Annotator, models: Sequ
         answered = reqs.drop("prompt", "text").join(annotate.call(reqs, annotator, parallelism), "cache_key")
     wide = annotate.to_wide(annotate.parse(answered, categories), [name for name, _ in pairs], reps)
     out = keyed.select("text_id", "text", "text_len").join(wide, "text_id")
-    return align.attach_truth(out, truth, "text_id") if truth is not None else out
+    return align.attach_truth(out, truth, truth_order) if truth is not None else out
 
 
 def consensus_job(annotations: DataFrame, *, dataset: str, order: str, threshold: float = 0.8,

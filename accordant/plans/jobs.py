@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from accordant.functions import prompts, text as T
 from accordant.operators import agreement, align, annotate, consensus, dedup, labels, quality, reshape, selection, training
 from accordant.sources import artefacts
+from accordant.sources.workspace import fresh_path
 
 
 @dataclass(frozen=True)
@@ -42,10 +43,10 @@ def annotation_job(texts: DataFrame, annotator: annotate.Annotator, models: Sequ
         "text_len": T.text_len("text")})
     pairs = annotate.expand_variants(models, configs or {})
     reqs = annotate.requests(keyed, pairs, reps)
-    if cache:
-        answered = annotate.call_with_cache(reqs, annotator, cache, parallelism)
-    else:
-        answered = reqs.drop("prompt", "text").join(annotate.call(reqs, annotator, parallelism), "cache_key")
+    # Responses are stored before use, in the given cache or in a fresh table: an action that
+    # reads the result twice, or a task that is retried later, must not call the model again.
+    answered = annotate.call_with_cache(
+        reqs, annotator, cache or fresh_path(texts.sparkSession, "responses"), parallelism)
     wide = annotate.to_wide(annotate.parse(answered, categories), [name for name, _ in pairs], reps)
     out = keyed.select("text_id", "text", "text_len").join(wide, "text_id")
     return align.attach_truth(out, truth, truth_order) if truth is not None else out

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from accordant.operators import consensus as C
-from workload.base import VOTES, WEIGHTS, annotations, register, repetitions, sql_digits, sql_vote, ANNOTATORS, with_votes
-
-_R = "round({}, 9)"
+from accordant.operators import agreement as A, consensus as C
+from workload.base import (ANNOTATORS, VOTES, WEIGHTS, annotations, drawn_vote, register, repetitions, sql_digits, sql_vote,
+                           table, with_votes)
 
 
 def _resolved(strategy):
@@ -176,3 +175,46 @@ SELECT annotator, count(*) AS calls, sum(elapsed_sec) AS total_sec, avg(elapsed_
        count(*) / sum(elapsed_sec) AS calls_per_sec FROM reps GROUP BY annotator""", _REPS))
 def throughput(spark, sf_dir):
     return C.throughput(repetitions(spark, sf_dir))
+
+
+# --- the same questions over the order lines -------------------------------------------------
+
+def line_votes(spark, sf_dir):
+    """Votes keyed by order line, three classes from the return flag."""
+    lines = table(spark, sf_dir, "lineitem")
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    flag = F.col("l_returnflag")
+    truth = F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).cast("int")
+    seats = [drawn_vote(m, key, truth, lo, 3).alias(f"{m}_consensus") for m, lo in ANNOTATORS.items()]
+    return lines.select("l_orderkey", "l_linenumber", truth.alias("ground_truth"),
+                        F.explode(F.array(F.struct(*seats))).alias("drawn")).select(
+        "l_orderkey", "l_linenumber", "ground_truth", "drawn.*")
+
+
+_KEY = "(l_orderkey || '-' || l_linenumber)"
+_FLAG = "cast(case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as int)"
+LINES = f"""WITH lv AS (SELECT {_FLAG} AS gt, {', '.join(f"{sql_vote(m, lo, _FLAG, 3, _KEY)} AS {m}" for m, lo in ANNOTATORS.items())} FROM lineitem),
+lr AS (SELECT *, case when ann_a = ann_b or ann_a = ann_c then ann_a when ann_b = ann_c then ann_b else ann_a end AS mode,
+              case when ann_a = ann_b and ann_b = ann_c then 3 when ann_a = ann_b or ann_a = ann_c or ann_b = ann_c then 2 else 1 end AS top FROM lv)"""
+
+
+@register("line_consensus", LINES + """
+SELECT case top when 3 then 'high' when 2 then 'medium' else 'low' end AS consensus_level, count(*) AS n,
+       count(*) FILTER (WHERE mode = gt) AS hits, count(*) FILTER (WHERE mode = gt) / count(*)::DOUBLE AS accuracy
+FROM lr WHERE mode <> -1 GROUP BY 1""")
+def line_consensus(spark, sf_dir):
+    scored = C.valid_for_evaluation(C.resolve(line_votes(spark, sf_dir), VOTES))
+    hits = F.count_if(F.col("resolved_annotation") == F.col("ground_truth"))
+    return scored.groupBy("consensus_level").agg(F.count(F.lit(1)).alias("n"), hits.alias("hits"),
+                                                 (hits / F.count(F.lit(1))).alias("accuracy"))
+
+
+@register("line_agreement", LINES + """,
+ll AS (SELECT unnest([ann_a, ann_b, ann_c]) AS label FROM lv)
+SELECT count(*) AS items, round(any_value(pb), 9) AS p_bar, round(any_value(pe), 9) AS p_e,
+       round((any_value(pb) - any_value(pe)) / (1 - any_value(pe)), 9) AS fleiss_kappa
+FROM lv, (SELECT avg((s - 3) / 6e0) AS pb FROM (SELECT list_sum([pow(len(list_filter([ann_a, ann_b, ann_c], lambda x: x = k)), 2) for k in [0, 1, 2]]) AS s FROM lv)),
+     (SELECT sum(p * p) AS pe FROM (SELECT count(*) / (3e0 * (SELECT count(*) FROM lv)) AS p FROM ll WHERE label <> -1 GROUP BY label))""")
+def line_agreement(spark, sf_dir):
+    out = A.fleiss_kappa(line_votes(spark, sf_dir), VOTES, categories=[0, 1, 2]).drop("interpretation")
+    return out.withColumns({c: F.round(c, 9) for c in ("p_bar", "p_e", "fleiss_kappa")})

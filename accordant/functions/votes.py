@@ -31,6 +31,7 @@ _PREFIX = "__seat_"
 # Up to this many seats the comparisons are unrolled; beyond it array functions keep the
 # expression small when a later filter is pushed through the projection.
 _UNROLLED = 6
+_SEATS = 255
 
 
 def _total(terms: Sequence[Column]) -> Column:
@@ -52,13 +53,17 @@ def _equals(value: Column) -> Callable[[Column], Column]:
 
 @dataclass(frozen=True)
 class Ballot:
-    """The votes of one row and the staged results the strategies work on."""
+    """The votes of one row and the staged results the strategies work on.
+
+    Later filters are pushed through the projection and carry these expressions with them, so
+    each result mentions the shared ``code`` once instead of once per seat.
+    """
 
     names: tuple[str, ...]
     votes: tuple[Column, ...]
     counts: tuple[Column, ...]
     firsts: tuple[Column, ...]
-    top: Column
+    code: Column
     params: Mapping[str, Any] = field(default_factory=dict)
 
     @property
@@ -69,9 +74,19 @@ class Ballot:
         """The vote of the first seat whose condition holds."""
         return F.coalesce(*[F.when(w, v) for w, v in zip(wins, self.votes)], F.lit(None))
 
+    def at(self, seat: Column) -> Column:
+        """The vote of a seat, counted from 1."""
+        return F.element_at(F.array(*self.votes), seat)
+
+    @property
+    def top(self) -> Column:
+        """The largest number of equal votes."""
+        return F.shiftright(self.code, 8)
+
     @property
     def mode(self) -> Column:
-        return self.pick([(n == self.top) & v.isNotNull() for n, v in zip(self.counts, self.votes)])
+        """The most common vote, the earliest seat on a tie; null when nobody voted."""
+        return self.at(F.lit(_SEATS + 1) - self.code.bitwiseAND(_SEATS))
 
     @property
     def distinct(self) -> Column:
@@ -79,43 +94,34 @@ class Ballot:
 
     @property
     def tied(self) -> Column:
-        leaders = _total([(f & (n == self.top)).cast("int") for f, n in zip(self.firsts, self.counts)])
-        return leaders >= 2
+        """Whether the two largest vote groups are equal."""
+        sizes = F.sort_array(F.array(*[F.when(f, n) for f, n in zip(self.firsts, self.counts)]), asc=False)
+        return F.coalesce(F.get(sizes, F.lit(0)) == F.get(sizes, F.lit(1)), F.lit(False))
 
 
 def tally(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None,
           params: Mapping[str, Any] | None = None) -> tuple[DataFrame, Ballot, list[str]]:
     """Add the helper columns; returns the frame, the ballot and the helper names to drop."""
     votes = [F.col(f"`{c}`") for c in columns]
-    counts = {
-        f"{_PREFIX}n{i}": _total([same(votes[i], votes[j]).cast("int") for j in range(len(votes))])
-        for i in range(len(votes))
-    }
-    firsts = {
-        f"{_PREFIX}f{i}": votes[i].isNotNull()
-        & ~reduce(or_, [same(votes[i], votes[j]) for j in range(i)], F.lit(False))
-        for i in range(len(votes))
-    }
-    top = _max([F.col(c) for c in counts])
-    if len(votes) > _UNROLLED:
+    if len(votes) > _SEATS:
+        raise ValueError(f"{len(votes)} annotators; at most {_SEATS} can vote on one row")
+    if len(votes) <= _UNROLLED:
+        counts = [_total([same(v, u).cast("int") for u in votes]) for v in votes]
+        firsts = [v.isNotNull() & ~reduce(or_, [same(v, u) for u in votes[:i]], F.lit(False))
+                  for i, v in enumerate(votes)]
+    else:
         seats = F.array(*votes)
-        counts = {f"{_PREFIX}n{i}": F.size(F.filter(seats, _equals(v)))
-                  for i, v in enumerate(votes)}
-        firsts = {f"{_PREFIX}f{i}": v.isNotNull() & (F.array_position(seats, v) == i + 1)
-                  for i, v in enumerate(votes)}
-        top = F.array_max(F.transform(
-            seats, lambda x: F.size(F.filter(seats, lambda y: y == x))))
-    staged = df.withColumns({**counts, **firsts})
-    staged = staged.withColumn(f"{_PREFIX}top", top)
+        counts = [F.coalesce(F.size(F.filter(seats, _equals(v))), F.lit(0)) for v in votes]
+        firsts = [v.isNotNull() & (F.array_position(seats, v) == i + 1) for i, v in enumerate(votes)]
+    n = {f"{_PREFIX}n{i}": c for i, c in enumerate(counts)}
+    f = {f"{_PREFIX}f{i}": c for i, c in enumerate(firsts)}
+    staged = df.withColumns({**n, **f})
+    # Count in the high bits, earliness of the seat in the low ones: one maximum gives both.
+    ranked = _max([F.shiftleft(F.col(c), 8) + F.lit(_SEATS - i) for i, c in enumerate(n)])
     ballot = Ballot(
-        names=tuple(names or columns),
-        votes=tuple(votes),
-        counts=tuple(F.col(c) for c in counts),
-        firsts=tuple(F.col(c) for c in firsts),
-        top=F.col(f"{_PREFIX}top"),
-        params=dict(params or {}),
-    )
-    return staged, ballot, [*counts, *firsts, f"{_PREFIX}top"]
+        names=tuple(names or columns), votes=tuple(votes), counts=tuple(F.col(c) for c in n),
+        firsts=tuple(F.col(c) for c in f), code=F.col(f"{_PREFIX}code"), params=dict(params or {}))
+    return staged.withColumn(f"{_PREFIX}code", ranked), ballot, [*n, *f, f"{_PREFIX}code"]
 
 
 def level(score: Column) -> Column:
@@ -192,8 +198,8 @@ def weighted_vote(ballot: Ballot) -> Column:
                 for u, w in zip(ballot.votes, share)])
         for v in ballot.votes
     ]
-    best = _max(support)
-    return ballot.pick([(s == best) & v.isNotNull() for s, v in zip(support, ballot.votes)])
+    row = F.array(*support)
+    return ballot.at(F.array_position(row, F.array_max(row)).cast("int"))
 
 
 @strategy("unanimous_only")

@@ -53,6 +53,9 @@ def resolve(df: DataFrame, columns: Sequence[str] | None = None, *, threshold: f
     rule = _strategy(strategy)
     staged, ballot, helpers = V.tally(df, columns, [annotator_name(c) for c in columns], params)
     score = F.col("consensus_score")
+    # Majority gives the mode on either side of the threshold.
+    resolved = F.col("most_common_annotation") if rule is V.majority_vote else F.when(
+        score >= F.lit(threshold), F.col("most_common_annotation")).otherwise(rule(ballot))
     return (
         staged.withColumns({
             "all_annotations": F.array(*ballot.votes),
@@ -64,8 +67,7 @@ def resolve(df: DataFrame, columns: Sequence[str] | None = None, *, threshold: f
         })
         .withColumns({
             "consensus_level": V.level(score),
-            "resolved_annotation": F.when(score >= F.lit(threshold), F.col("most_common_annotation"))
-            .otherwise(rule(ballot)),
+            "resolved_annotation": resolved,
         })
         .withColumn("needs_review", F.col("resolved_annotation").isNull())
         .drop(*helpers)

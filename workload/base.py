@@ -49,19 +49,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def digits(tag: str, key: Column, start: int) -> Column:
     """Four hex digits of md5(tag|key) as an integer in [0, 65536)."""
-    word = F.substring(F.md5(F.concat(F.lit(f"{tag}|"), key)), start, 4)
-    return F.conv(word, 16, 10).cast("int")
+    return _word(F.md5(F.concat(F.lit(f"{tag}|"), key)), start)
 
 
-def drawn_vote(tag: str, key: Column, truth: Column, right_below: int, classes: int) -> Column:
-    roll = digits(tag, key, 1)
-    wrong = (truth + 1 + digits(tag, key, 5) % (classes - 1)) % classes
+def _word(digest: Column, start: int) -> Column:
+    return F.conv(F.substring(digest, start, 4), 16, 10).cast("int")
+
+
+def with_draws(df: DataFrame, tags: list[str], key: Column) -> DataFrame:
+    """Add, per tag, three drawn integers; each digest is computed once per row."""
+    hashed = df.withColumns({f"__h{i}": F.md5(F.concat(F.lit(f"{t}|"), key)) for i, t in enumerate(tags)})
+    words = {f"__w{i}_{start}": _word(F.col(f"__h{i}"), start) for i in range(len(tags)) for start in (1, 5, 9, 13)}
+    return hashed.withColumns(words).drop(*[f"__h{i}" for i in range(len(tags))])
+
+
+def drawn_vote(i: int, truth: Column, right_below: int, classes: int) -> Column:
+    roll = F.col(f"__w{i}_1")
+    wrong = (truth + 1 + F.col(f"__w{i}_5") % (classes - 1)) % classes
     return (F.when(roll < right_below, truth).when(roll < 64500, wrong).otherwise(F.lit(-1))
             .cast("int"))
 
 
-def drawn_confidence(tag: str, key: Column) -> Column:
-    return (digits(tag, key, 9) + 1).cast("double") / F.lit(65536.0)
+def drawn_confidence(i: int) -> Column:
+    return (F.col(f"__w{i}_9") + 1).cast("double") / F.lit(65536.0)
 
 
 def language_label(lang: Column) -> Column:
@@ -71,14 +81,14 @@ def language_label(lang: Column) -> Column:
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide annotation table: one row per document."""
-    docs = table(spark, sf_dir, "documents")
     key = F.col("doc_id").cast("string")
+    docs = with_draws(table(spark, sf_dir, "documents"), list(ANNOTATORS), key)
     gt0 = language_label(F.col("lang"))
     seats = []
-    for m, lo in ANNOTATORS.items():
-        seats += [drawn_vote(m, key, gt0, lo, 4).alias(f"{m}_consensus"),
+    for i, (m, lo) in enumerate(ANNOTATORS.items()):
+        seats += [drawn_vote(i, gt0, lo, 4).alias(f"{m}_consensus"),
                   F.lit(1.0).alias(f"{m}_consensus_score"),
-                  drawn_confidence(m, key).alias(f"{m}_rep1_conf")]
+                  drawn_confidence(i).alias(f"{m}_rep1_conf")]
     # One-element explode: the drawn votes are computed once per row and later filters work
     # on them as columns, as they would on a stored annotation table.
     return docs.select(
@@ -95,18 +105,17 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repetitions(spark: SparkSession, sf_dir: str, reps: int = 3) -> DataFrame:
     """Long annotation table: one row per document, annotator and repetition."""
-    docs = table(spark, sf_dir, "documents")
     calls = [(m, i, r, lo) for i, (m, lo) in enumerate(ANNOTATORS.items())
              for r in range(1, reps + 1)]
+    docs = with_draws(table(spark, sf_dir, "documents"), [f"{m}|{r}" for m, _, r, _ in calls],
+                      F.col("doc_id").cast("string"))
     gt0 = language_label(F.col("lang"))
-    key = F.col("doc_id").cast("string")
     rows = F.array(*[
         F.struct(
             F.lit(m).alias("annotator"), F.lit(i).alias("annotator_idx"), F.lit(r).alias("rep"),
-            drawn_vote(f"{m}|{r}", key, gt0, lo, 4).alias("label"),
-            drawn_confidence(f"{m}|{r}", key).alias("confidence"),
-            (digits(f"{m}|{r}", key, 13).cast("double") / F.lit(1024.0)).alias("elapsed_sec"),
-        ) for m, i, r, lo in calls])
+            drawn_vote(at, gt0, lo, 4).alias("label"), drawn_confidence(at).alias("confidence"),
+            (F.col(f"__w{at}_13").cast("double") / F.lit(1024.0)).alias("elapsed_sec"),
+        ) for at, (m, i, r, lo) in enumerate(calls)])
     return docs.select("doc_id", F.explode(rows).alias("call")).select("doc_id", "call.*")
 
 

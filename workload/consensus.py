@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from accordant.operators import agreement as A, consensus as C
 from workload.base import (ANNOTATORS, VOTES, WEIGHTS, annotations, drawn_vote, register, repetitions, sql_digits, sql_vote,
-                           table, with_votes)
+                           table, with_draws, with_votes)
 
 
 def _resolved(strategy):
@@ -181,11 +181,11 @@ def throughput(spark, sf_dir):
 
 def line_votes(spark, sf_dir):
     """Votes keyed by order line, three classes from the return flag."""
-    lines = table(spark, sf_dir, "lineitem")
     key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    lines = with_draws(table(spark, sf_dir, "lineitem"), list(ANNOTATORS), key)
     flag = F.col("l_returnflag")
     truth = F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).cast("int")
-    seats = [drawn_vote(m, key, truth, lo, 3).alias(f"{m}_consensus") for m, lo in ANNOTATORS.items()]
+    seats = [drawn_vote(i, truth, lo, 3).alias(f"{m}_consensus") for i, (m, lo) in enumerate(ANNOTATORS.items())]
     return lines.select("l_orderkey", "l_linenumber", truth.alias("ground_truth"),
                         F.explode(F.array(F.struct(*seats))).alias("drawn")).select(
         "l_orderkey", "l_linenumber", "ground_truth", "drawn.*")

@@ -16,7 +16,7 @@ ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(ROOT))
 
 HEADLINE = [
-    "consensus_majority", "consensus_weighted", "consensus_summary", "accuracy_by_level", "problematic_cases",
+    "line_consensus", "line_agreement", "consensus_majority", "consensus_weighted", "consensus_summary", "accuracy_by_level", "problematic_cases",
     "repetition_consensus", "pairwise_agreement", "cohen_kappa", "fleiss_kappa", "krippendorff_alpha",
     "model_metrics", "classification_report", "reliability_bins", "ece", "brier_balanced", "text_id_dedup",
     "duplicate_report", "fold_assignment", "cv_alignment", "perspectivism", "parse_responses", "tfidf_weights",

@@ -8,18 +8,19 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from accordant.sources.workspace import stored
+
 
 def measured(small: DataFrame) -> DataFrame:
-    """Materialise a small derived table so that the planner knows its real size.
+    """Write a small derived table to the shared folder so that the planner knows its real size.
 
     An aggregate's size is unknown at planning time and guessed as its input's, so a join
-    against it would shuffle the large side.  Cached and counted, its true size decides:
-    under ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast, beyond it the join stays
-    a shuffle join whose hot keys AQE splits.
+    against it would shuffle the large side.  A written table's size is a fact: under
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast, beyond it the join stays a
+    shuffle join whose hot keys AQE splits.  Unlike a cached plan, it can neither be lost with
+    an executor nor be taken for the result of the same query on changed files.
     """
-    kept = small.persist()
-    kept.count()
-    return kept
+    return stored(small, "measured")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -24,6 +24,15 @@ def confusion(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> D
         F.count(F.lit(1)).alias("n"))
 
 
+def _weighed(counts: DataFrame, kept: Column) -> DataFrame:
+    """Counts set to zero where the condition fails.
+
+    A filter would be pushed below the count and turn one scan shared by several results
+    into one scan each.
+    """
+    return counts.withColumn("n", F.when(kept, F.col("n")).otherwise(F.lit(0).cast("bigint")))
+
+
 def per_class(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support of every class seen in truth or prediction."""
     hit = F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
@@ -36,7 +45,8 @@ def per_class(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sums = (counts.select(*by, F.explode(ends).alias("e")).select(*by, "e.*")
             .groupBy(*by, "label")
             .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
-                 F.sum("predicted").alias("predicted")))
+                 F.sum("predicted").alias("predicted"))
+            .filter(F.col("support") + F.col("predicted") > 0))
     zero = F.lit(0.0)
     return sums.withColumns({
         "precision": F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), zero),
@@ -74,7 +84,7 @@ def model_metrics(df: DataFrame, columns: Sequence[str], truth: str = "ground_tr
     counts = long.groupBy("model", "gt", "pred").agg(F.count(F.lit(1)).alias("n"))
     coverage = counts.groupBy("model").agg(
         (F.sum(F.when(F.col("pred") != INVALID, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"))
-    valid = counts.filter((F.col("gt") != INVALID) & (F.col("pred") != INVALID))
+    valid = _weighed(counts, (F.col("gt") != INVALID) & (F.col("pred") != INVALID))
     scores = macro(per_class(valid, ["model"]), ["model"]).drop("n")
     return (coverage.join(scores, "model", "left")
             .withColumns({m: F.coalesce(F.col(m), F.lit(0.0)) for m in _MACRO})
@@ -148,13 +158,14 @@ def cell_metrics(df: DataFrame, by: Sequence[str], cell: Sequence[str],
 def covered_metrics(df: DataFrame, by: Sequence[str], truth: str = "ground_truth",
                     pred: str = "resolved_annotation", tie: str = "is_problematic") -> DataFrame:
     """Quality over rows with a valid label and no tie, with their share of all rows by group."""
-    covered = (F.col(pred).isNotNull() & (F.col(pred) != INVALID) & ~F.col(tie)
-               & F.col(truth).isNotNull() & (F.col(truth) != INVALID))
+    covered = F.col(pred).isNotNull() & (F.col(pred) != INVALID) & ~F.col(tie)
     usable = df.filter(F.col(truth).isNotNull() & (F.col(truth) != INVALID))
-    counts = usable.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"),
-                                     F.count_if(covered).alias("n_covered"))
-    scores = macro_metrics(usable.filter(covered), truth, pred, by).drop("n")
-    return (counts.join(scores, list(by), "left")
+    counts = usable.groupBy(*by, F.col(truth).alias("gt"), F.col(pred).alias("pred"), covered.alias("covered")).agg(
+        F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*by).agg(
+        F.sum("n").alias("n_total"), F.sum(F.when(F.col("covered"), F.col("n")).otherwise(0)).alias("n_covered"))
+    scores = macro(per_class(_weighed(counts, F.col("covered")), by), by).drop("n")
+    return (totals.join(scores, list(by), "left")
             .withColumn("coverage", F.try_divide(F.col("n_covered"), F.col("n_total"))))
 
 

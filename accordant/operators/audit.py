@@ -101,13 +101,19 @@ def status_profile(rows: DataFrame, length: str = "text_len", confidence: str =
     return rows.groupBy("dataset").agg(*pair("median_len", F.median, length), *pair("mean_conf", F.avg, confidence))
 
 
-def synthesis(rows: DataFrame) -> DataFrame:
-    """The main figures of the audit in one table per dataset."""
-    first = overview(rows).select("dataset", "removed", (F.lit(100.0) * F.col("reduction_rate")).alias("pct_reduction"))
-    right = removed_correctness(rows).select("dataset", "pct_correct", "pct_wrong")
-    level = removed_by_level(rows).select("dataset", "pct_high")
-    good = filter_quality(rows).select("dataset", "pct_error_removed", "pct_error_kept", "error_recall")
-    out = first
-    for part in (right, level, good):
-        out = out.join(part, "dataset", "left")
-    return out
+def synthesis(rows: DataFrame, levels: Sequence[str] = ("high", "medium")) -> DataFrame:
+    """The main figures of the audit in one table per dataset, from one aggregate."""
+    out, wrong = _removed(), _wrong()
+    removed, kept = F.count_if(out), F.count_if(~out)
+
+    def pct(part: Column, whole: Column) -> Column:
+        return F.lit(100.0) * F.try_divide(part, whole)
+
+    return rows.groupBy("dataset").agg(
+        removed.alias("removed"), pct(removed, F.count(F.lit(1))).alias("pct_reduction"),
+        pct(F.count_if(out & ~wrong), removed).alias("pct_correct"), pct(F.count_if(out & wrong), removed).alias("pct_wrong"),
+        pct(F.count_if(out & (F.col("consensus_level") == levels[0])),
+            F.count_if(out & F.col("consensus_level").isin(*levels))).alias(f"pct_{levels[0]}"),
+        pct(F.count_if(out & wrong), removed).alias("pct_error_removed"),
+        pct(F.count_if(~out & wrong), kept).alias("pct_error_kept"),
+        pct(F.count_if(out & wrong), F.count_if(wrong)).alias("error_recall"))

@@ -27,27 +27,31 @@ def confusion(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> D
 def _weighed(counts: DataFrame, kept: Column) -> DataFrame:
     """Counts set to zero where the condition fails.
 
-    A filter would be pushed below the count and turn one scan shared by several results
-    into one scan each.
+    A filter would be pushed below the count, and the rows it drops could no longer be
+    counted in the same scan.
     """
     return counts.withColumn("n", F.when(kept, F.col("n")).otherwise(F.lit(0).cast("bigint")))
 
 
-def per_class(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Precision, recall, F1 and support of every class seen in truth or prediction."""
-    hit = F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
+def per_class(counts: DataFrame, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support of every class seen in truth or prediction.
+
+    ``carry`` names further count columns to add up beside them; with it, classes without a
+    counted row stay in the table.
+    """
+    zero, none = F.lit(0.0), F.lit(0).cast("bigint")
+    hit = F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(none)
     ends = F.array(
         F.struct(F.col("gt").alias("label"), hit.alias("tp"), F.col("n").alias("support"),
-                 F.lit(0).cast("bigint").alias("predicted")),
-        F.struct(F.col("pred").alias("label"), F.lit(0).cast("bigint").alias("tp"),
-                 F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted")),
+                 none.alias("predicted"), *[F.col(c).alias(c) for c in carry]),
+        F.struct(F.col("pred").alias("label"), none.alias("tp"), none.alias("support"),
+                 F.col("n").alias("predicted"), *[none.alias(c) for c in carry]),
     )
     sums = (counts.select(*by, F.explode(ends).alias("e")).select(*by, "e.*")
             .groupBy(*by, "label")
-            .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
-                 F.sum("predicted").alias("predicted"))
-            .filter(F.col("support") + F.col("predicted") > 0))
-    zero = F.lit(0.0)
+            .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted", *carry)]))
+    if not carry:
+        sums = sums.filter(F.col("support") + F.col("predicted") > 0)
     return sums.withColumns({
         "precision": F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), zero),
         "recall": F.coalesce(F.try_divide(F.col("tp"), F.col("support")), zero),
@@ -55,13 +59,13 @@ def per_class(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     })
 
 
-def macro(classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def macro(classes: DataFrame, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    seen = F.col("support") + F.col("predicted") > 0
     return classes.groupBy(*by).agg(
         F.sum("support").alias("n"),
         F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
-        F.avg("f1").alias("f1_macro"),
-        F.avg("precision").alias("precision_macro"),
-        F.avg("recall").alias("recall_macro"),
+        *[F.avg(F.when(seen, F.col(m))).alias(f"{m}_macro") for m in ("f1", "precision", "recall")],
+        *[F.sum(c).alias(c) for c in carry],
     )
 
 
@@ -81,13 +85,13 @@ def model_metrics(df: DataFrame, columns: Sequence[str], truth: str = "ground_tr
     long = (df.filter(F.col(truth).isNotNull())
             .select(F.col(truth).cast("int").alias("gt"), F.explode(seats).alias("s"))
             .select("gt", "s.model", "s.pred"))
-    counts = long.groupBy("model", "gt", "pred").agg(F.count(F.lit(1)).alias("n"))
-    coverage = counts.groupBy("model").agg(
-        (F.sum(F.when(F.col("pred") != INVALID, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"))
+    counts = long.groupBy("model", "gt", "pred").agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "answers": F.col("n"), "usable": F.when(F.col("pred") != INVALID, F.col("n")).otherwise(0)})
     valid = _weighed(counts, (F.col("gt") != INVALID) & (F.col("pred") != INVALID))
-    scores = macro(per_class(valid, ["model"]), ["model"]).drop("n")
-    return (coverage.join(scores, "model", "left")
-            .withColumns({m: F.coalesce(F.col(m), F.lit(0.0)) for m in _MACRO})
+    carry = ["answers", "usable"]
+    scores = macro(per_class(valid, ["model"], carry), ["model"], carry)
+    coverage = F.try_divide(F.col("usable"), F.col("answers"))
+    return (scores.select("model", coverage.alias("coverage"), *[F.coalesce(m, F.lit(0.0)).alias(m) for m in _MACRO])
             .withColumns({"error_rate": 1 - F.col("accuracy"),
                           "invalid_predictions_rate": 1 - F.col("coverage")})
             .orderBy(F.desc("f1_macro"), "model"))
@@ -162,11 +166,11 @@ def covered_metrics(df: DataFrame, by: Sequence[str], truth: str = "ground_truth
     usable = df.filter(F.col(truth).isNotNull() & (F.col(truth) != INVALID))
     counts = usable.groupBy(*by, F.col(truth).alias("gt"), F.col(pred).alias("pred"), covered.alias("covered")).agg(
         F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*by).agg(
-        F.sum("n").alias("n_total"), F.sum(F.when(F.col("covered"), F.col("n")).otherwise(0)).alias("n_covered"))
-    scores = macro(per_class(_weighed(counts, F.col("covered")), by), by).drop("n")
-    return (totals.join(scores, list(by), "left")
-            .withColumn("coverage", F.try_divide(F.col("n_covered"), F.col("n_total"))))
+    carried = counts.withColumns({
+        "n_total": F.col("n"), "n_covered": F.when(F.col("covered"), F.col("n")).otherwise(0)})
+    carry = ["n_total", "n_covered"]
+    scores = macro(per_class(_weighed(carried, F.col("covered")), by, carry), by, carry).drop("n")
+    return scores.withColumn("coverage", F.try_divide(F.col("n_covered"), F.col("n_total")))
 
 
 def ensemble_gain(df: DataFrame, columns: Sequence[str], truth: str = "ground_truth",

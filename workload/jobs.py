@@ -184,7 +184,7 @@ def _estimator():
 def cv_eval(spark, sf_dir):
     """Folds trained on annotated labels and scored on true ones, with mean and deviation."""
     aligned = jobs.training_job(cv_folds(spark, sf_dir), TR.aggregated_set(deduped(spark, sf_dir)))
-    rows = stored(aligned.repartition("fold"), "aligned")
+    rows = stored(aligned, "aligned", ["fold"])
     return TR.cv_summary(TR.cross_validate(rows, CATEGORIES, _estimator))
 
 
@@ -192,11 +192,11 @@ def cv_eval(spark, sf_dir):
 def cv_compare(spark, sf_dir):
     """The same folds trained on true and on consensus labels."""
     folds = cv_folds(spark, sf_dir)
-    consensus = stored(jobs.training_job(folds, TR.aggregated_set(deduped(spark, sf_dir))), "aligned")
+    consensus = stored(jobs.training_job(folds, TR.aggregated_set(deduped(spark, sf_dir))), "aligned", ["fold"])
     truth = folds.filter("split = 'train'").select("fold", "text_id", F.col("label").alias("true")).groupBy(
         "fold", "text_id").agg(F.min("true").alias("true"))
     gold = stored(consensus.join(truth, ["fold", "text_id"], "left").withColumn(
-        "label", F.when(F.col("split") == "train", F.coalesce("true", "label")).otherwise(F.col("label"))).drop("true"), "gold")
+        "label", F.when(F.col("split") == "train", F.coalesce("true", "label")).otherwise(F.col("label"))).drop("true"), "gold", ["fold"])
     return TR.compare_label_sources(TR.cross_validate(gold, CATEGORIES, _estimator),
                                     TR.cross_validate(consensus, CATEGORIES, _estimator), "documents")
 

@@ -46,3 +46,16 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def fit_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by the hash of their id, for fitting a classifier.
+
+    A row is taken if its hash falls below rows / count, so every task keeps its share only and the
+    sample stays spread over the tasks; a table of up to ``rows`` rows is taken whole.
+    """
+    share = rows / max(1, df.count())
+    if share >= 1:
+        return df
+    steps = 1 << 40
+    return df.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(steps)) < int(share * steps))

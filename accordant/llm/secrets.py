@@ -15,7 +15,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from accordant.llm.common import arrow_map, whole_text
+from accordant.llm.common import arrow_map, fit_sample, whole_text
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns.  Letters of the first match in either case, ASCII only.
@@ -97,7 +97,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     The labels of the sample are the base patterns.  The bounds keep the sample below 40 million
     characters at any input size and apply to fitting only; every text is scanned whole.
     """
-    sample = docs.select(F.xxhash64(id_col).alias("h"), F.substring(whole_text(text_col), 1, max_chars).alias("t")).orderBy("h", F.length("t")).limit(max_rows)
+    sample = fit_sample(docs.select(id_col, F.substring(whole_text(text_col), 1, max_chars).alias("t")), id_col, max_rows)
     secret, plain = drawn_runs(drawn), []
     for row in sample.select("t").collect():
         s, p = samples_of(row.t)

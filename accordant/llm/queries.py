@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from accordant.llm import exact_dedup, packing, secrets, toxicity
+from accordant.llm import bpe, exact_dedup, frames, packing, secrets, toxicity
 from accordant.llm.common import table
 
 QUERIES: dict = {}
@@ -55,3 +55,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), capacity=2048)
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read back; the digests come from the files."""
+    manifest = frames.write(table(spark, sf_dir, "documents"))
+    return frames.read(manifest, with_ids=False).drop("ids")

@@ -40,7 +40,7 @@ class ByteLevel:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = public_tokenizers.PATTERN
+        self.pattern = pattern = public_tokenizers.PATTERN
         lean = pattern.replace(r"|\s+(?!\S)", "")
         self.full = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.lean = tiktoken.Encoding(path, pat_str=lean, mergeable_ranks=ranks, special_tokens={})
@@ -53,6 +53,9 @@ class ByteLevel:
         """The raw bytes of the ids, one after the other."""
         return b"".join(map(self.raw.__getitem__, ids))
 
+    def decode_packed(self, ids: bytes) -> bytes:
+        return self.decode(np.frombuffer(ids, dtype="<u4").tolist())
+
 
 class _Kept(dict):
     """A dictionary that computes what it misses and forgets what it has not used lately."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from accordant.llm import bpe, exact_dedup, frames, packing, secrets, toxicity
+from accordant.llm import bpe, exact_dedup, frames, near_dedup, packing, secrets, toxicity
 from accordant.llm.common import table
 
 QUERIES: dict = {}
@@ -42,7 +42,8 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Trained on the labelled rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.filter(~toxicity.held_out()).select("doc_id", "toxic")
-    return toxicity.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    # Labels are the narrow side at every size; hashing them spares a sort of the texts.
+    return toxicity.train(docs.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id"))
 
 
 @query
@@ -67,3 +68,8 @@ def op5_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written and read back; the digests come from the files."""
     manifest = frames.write(table(spark, sf_dir, "documents"))
     return frames.read(manifest, with_ids=False).drop("ids")
+
+
+@query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)

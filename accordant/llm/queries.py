@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from accordant.llm import bpe, exact_dedup, frames, near_dedup, packing, secrets, toxicity
+from accordant.llm import bpe, exact_dedup, frames, line_dedup, near_dedup, packing, secrets, toxicity
 from accordant.llm.common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,10 @@ def op5_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every judged line with its component and whether it stays."""
+    out = line_dedup.decide(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "component", "kept")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from accordant.llm import bpe, exact_dedup, frames, line_dedup, near_dedup, packing, secrets, toxicity
+from accordant.llm import bpe, exact_dedup, frames, line_dedup, near_dedup, packing, pii, secrets, toxicity
 from accordant.llm.common import table
 
 QUERIES: dict = {}
@@ -80,3 +80,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every judged line with its component and whether it stays."""
     out = line_dedup.decide(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "component", "kept")
+
+
+@query
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymise(docs, key="corpus-key")
+    spans = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), spans.alias("spans"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from accordant.llm import bpe, exact_dedup, frames, line_dedup, near_dedup, packing, pii, secrets, toxicity
+from accordant.llm import ann, bpe, exact_dedup, frames, line_dedup, near_dedup, packing, pii, secrets, toxicity
 from accordant.llm.common import table
 
 QUERIES: dict = {}
@@ -88,3 +88,11 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(docs, key="corpus-key")
     spans = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), spans.alias("spans"))
+
+
+@query
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usual_length(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").filter("vec_id is not null")
+    model = ann.fit(vectors, id_col="vec_id", vector_col="embedding")
+    out = ann.search(vectors, vectors.filter("vec_id % 20 = 0"), model, id_col="vec_id", vector_col="embedding", k=20)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

@@ -48,6 +48,31 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, column: str, keep: Callable[[list], list[bool]], rows: int = 64) -> DataFrame:
+    """The rows for whose value of ``column`` ``keep`` is true; all columns pass through unread."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array(keep(part.column(column).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def arrow_replace(df: DataFrame, column: str, fn: Callable[[list], list], rows: int = 64) -> DataFrame:
+    """All rows and columns, with the values of one column replaced."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                at = part.schema.get_field_index(column)
+                yield part.set_column(at, part.schema.field(at), pa.array(fn(part.column(at).to_pylist()), type=part.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fit_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     """About ``rows`` rows, chosen by the hash of their id, for fitting a classifier.
 

@@ -264,3 +264,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     out = rows.join(named, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, all columns kept, without the documents that ``near_duplicates`` marks as copies.
+
+    Rows that share an id go only if each of them is marked; rows without an id stay.
+    """
+    marks = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    gone = marks.groupBy(F.col(id_col).alias("__id")).agg(F.max("kept").alias("kept")).filter("not kept").select("__id")
+    # The ids are the narrow side; hashing them spares a sort of the texts.
+    gone = stored(gone, "copies").hint("shuffle_hash")
+    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

@@ -15,7 +15,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from accordant.llm.common import arrow_map, fit_sample, whole_text
+from accordant.llm.common import arrow_map, arrow_replace, fit_sample, whole_text
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns.  Letters of the first match in either case, ASCII only.
@@ -155,3 +155,12 @@ def scan(docs: DataFrame, table: np.ndarray, *, id_col: str = "doc_id", text_col
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     return arrow_map(rows, one, f"id {kind}, {SCAN}").withColumnRenamed("id", id_col)
+
+
+def mask(docs: DataFrame, table: np.ndarray, *, text_col: str = "text") -> DataFrame:
+    """All rows and columns, secrets in ``text_col`` masked; null texts stay null."""
+
+    def one(texts: list) -> list:
+        return [t if not t or not (spans := all_spans(t, table)[1]) else redact(t, spans) for t in texts]
+
+    return arrow_replace(docs, text_col, one)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from accordant.llm.common import arrow_map, fit_sample, whole_text
+from accordant.llm.common import arrow_filter, arrow_map, fit_sample, whole_text
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -238,6 +238,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return out.withColumnRenamed("id", id_col)
 
 
+def reject(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, all columns kept, whose text scores below ``threshold``; a null text is an empty one."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return arrow_filter(docs, text_col, lambda texts: (sent.value.score([sent.value.features(t or "") for t in texts]) < threshold).tolist())
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose labels are kept from training."""
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0

@@ -47,13 +47,13 @@ def numbered(labels: Sequence[object]) -> dict[str, str]:
     return {str(i): str(label) for i, label in enumerate(labels)}
 
 
-def example_block(examples: DataFrame, order: str) -> DataFrame:
-    """One row with the few-shot examples in the given order.
+def example_block(examples: DataFrame, order: str, shots: int = 8) -> DataFrame:
+    """One row with the first ``shots`` few-shot examples in the given order.
 
-    ``examples`` is the hand-picked list that goes into every prompt, so it is short by nature.
+    The block goes into every prompt, so its size is a parameter, not that of the labelled table.
     """
     shown = F.concat(F.lit("Text: "), F.col("text"), F.lit("\nCategory: "), F.col("category").cast("string"))
-    rows = examples.select(F.struct(F.col(order).alias("o"), shown.alias("s")).alias("e"))
+    rows = examples.orderBy(order).limit(shots).select(F.struct(F.col(order).alias("o"), shown.alias("s")).alias("e"))
     return rows.agg(F.array_join(
         F.transform(F.array_sort(F.collect_list("e")), lambda e: e["s"]), "\n\n").alias("examples"))
 

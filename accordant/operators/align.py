@@ -85,11 +85,12 @@ def align_folds(folds: DataFrame, annotated: DataFrame, key: str = "text_id",
                 allow_duplicate_ids: bool = False) -> DataFrame:
     """Training rows with annotated labels, evaluation rows with true labels, free of leakage.
 
-    ``folds`` holds (fold, split, key, text, label); the result has the same columns.
+    ``folds`` holds (fold, split, key, label) and, if it must, text; the result has the same columns.
+    Without text every join is narrow, and the caller fetches each text once, at the end.
     """
     if not allow_duplicate_ids:
         require_unique(annotated, key, "annotations")
-    cols = ["fold", "split", key, "text", "label"]
+    cols = [c for c in ("fold", "split", key, "text", "label") if c in folds.columns]
     train = train_rows(folds, annotated, key).withColumn("split", F.lit("train"))
     evaluation = without_leakage(folds.filter(F.col("split") != "train"), train, key)
     return train.select(*cols).unionByName(evaluation.select(*cols))

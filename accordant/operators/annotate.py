@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from accordant.functions import responses, text as T
 from accordant.operators.consensus import repetition_consensus
+from accordant.sources.workspace import stored
 
 Annotator = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -103,28 +104,56 @@ def call(reqs: DataFrame, annotator: Annotator, parallelism: int | None = None,
     return spread.mapInPandas(run, f"cache_key string, {RESPONSE}")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
+def _stored_calls(spark: SparkSession, path: str) -> DataFrame:
+    shape = f"cache_key string, {RESPONSE}, written_at timestamp"
     try:
-        return spark.read.schema(f"cache_key string, {RESPONSE}").parquet(path)
+        return spark.read.schema(shape).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], f"cache_key string, {RESPONSE}")
+        return spark.createDataFrame([], shape)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """One response per key: jobs that called the same key at the same time left several, and the
+    first one written counts."""
+    kept = [c.split()[0] for c in ("content", "thinking", "logprobs", "elapsed_sec", "error")]
+    first = F.min_by(F.struct(*kept), F.struct("written_at", "content")).alias("r")
+    return _stored_calls(spark, path).groupBy("cache_key").agg(first).select("cache_key", "r.*")
+
+
+def failed_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Every failed call beside the cache, with its error text and time."""
+    return _stored_calls(spark, f"{path}-errors").select("cache_key", "error", "written_at")
+
+
+def cache_statistics(reqs: DataFrame, cache: str) -> DataFrame:
+    """One row: requests, their distinct keys, how many requests the cache answers (``hits``) or not
+    (``misses``), and the keys it holds."""
+    held = read_cache(reqs.sparkSession, cache).select("cache_key", F.lit(True).alias("held"))
+    return (reqs.select("cache_key").join(held, "cache_key", "left")
+            .agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("cache_key").alias("keys"),
+                 F.count("held").alias("hits"), F.count_if(F.col("held").isNull()).alias("misses"))
+            .withColumn("stored", held.agg(F.count(F.lit(1))).scalar()))
 
 
 def call_with_cache(reqs: DataFrame, annotator: Annotator, cache: str,
                     parallelism: int | None = None) -> DataFrame:
     """Every request with its response; only keys absent from the cache table are called.
 
-    Copies of a text share one key and one call.  New responses are appended to the cache
-    table before they are read, so later work never repeats a call.
+    Copies of a text share one key and one call.  New responses are written once, then appended
+    to the cache table, failures to the table beside it; a request whose call failed now
+    returns with its error.
     """
     spark = reqs.sparkSession
     once = reqs.groupBy("cache_key").agg(*[
         F.any_value(c).alias(c) for c in ("annotator", "rep", "params", "prompt")])
     misses = once.join(read_cache(spark, cache).select("cache_key"), "cache_key", "left_anti")
-    call(misses, annotator, parallelism).filter(F.col("error").isNull()).write.mode("append").parquet(cache)
-    return reqs.join(read_cache(spark, cache), "cache_key", "left")
+    called = stored(call(misses, annotator, parallelism).withColumn("written_at", F.current_timestamp()), "calls")
+    called.filter(F.col("error").isNull()).write.mode("append").parquet(cache)
+    failed = called.filter(F.col("error").isNotNull())
+    failed.write.mode("append").parquet(f"{cache}-errors")
+    return reqs.join(read_cache(spark, cache).unionByName(failed.drop("written_at")), "cache_key", "left")
 
 
 def parse(responses_df: DataFrame, categories: Sequence[int]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from accordant.functions import tails
 from accordant.functions.coding import products
 from accordant.operators.joins import measured, null_safe_join
+from accordant.sources.workspace import stored
 
 
 def treatment_means(df: DataFrame, response: str, by: Sequence[str] = ("treatment",)) -> DataFrame:
@@ -183,22 +184,21 @@ def residuals(df: DataFrame, response: str, group: str, out: str = "residual") -
         out, F.col(response) - F.col("__mean")).drop("__mean")
 
 
-def durbin_watson(df: DataFrame, residual: str, order: str, buckets: int = 1024) -> DataFrame:
-    """Sum of squared steps over sum of squares of residuals in order.
+def durbin_watson(df: DataFrame, residual: str, order: str, range_rows: int = 100_000) -> DataFrame:
+    """Sum of squared steps over sum of squares of residuals in order; the order may have any type.
 
-    The order is cut into ranges: steps inside a range come from a window over that range,
-    steps across ranges from the ends of neighbouring ranges, a table of ``buckets`` rows.
+    The table is dealt into ranges of the order, about ``range_rows`` rows each by sampled bounds,
+    and stored so: steps inside a range come from a window over that range, steps across ranges
+    from the ends of neighbouring ranges.  Rows of one order value go by their residual.
     """
-    span = df.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    place = F.coalesce(F.floor(F.try_divide(F.col("__o").cast("double") - lo, hi - lo) * F.lit(buckets)), F.lit(0))
-    cut = df.select(F.col(order).alias("__o"), F.col(residual).alias("__e")).withColumn(
-        "__b", F.least(place, F.lit(buckets - 1)))
-    within = Window.partitionBy("__b").orderBy("__o")
+    rows = df.select(F.col(order).alias("__o"), F.col(residual).alias("__e"))
+    ranges = max(1, -(-rows.count() // range_rows))
+    cut = stored(rows.repartitionByRange(ranges, "__o", "__e").withColumn("__b", F.spark_partition_id()), "ordered-residuals")
+    within = Window.partitionBy("__b").orderBy("__o", "__e")
     step = F.col("__e") - F.lag("__e").over(within)
     parts = (cut.withColumn("__d", step).groupBy("__b").agg(
         F.sum(F.col("__d") * F.col("__d")).alias("dd"), F.sum(F.col("__e") * F.col("__e")).alias("ee"),
-        F.min_by("__e", "__o").alias("first"), F.max_by("__e", "__o").alias("last")))
+        F.min_by("__e", F.struct("__o", "__e")).alias("first"), F.max_by("__e", F.struct("__o", "__e")).alias("last")))
     ends = parts.withColumn("gap", F.col("first") - F.lag("last").over(Window.orderBy("__b")))
     return ends.agg(F.try_divide(
         F.coalesce(F.sum("dd"), F.lit(0.0)) + F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)),

@@ -149,11 +149,12 @@ def cell_metrics(df: DataFrame, by: Sequence[str], cell: Sequence[str],
                  truth: str = "ground_truth", pred: str = "resolved_annotation") -> DataFrame:
     """Quality by design cell with coverage of the cell within its outer group.
 
-    ``n_covered`` of the cells adds up to ``n_total`` of the outer group.
+    ``n_total`` counts all rows of the outer group, whatever their truth or label, so cells that lose
+    rows do not add up to it.
     """
     keys = [*by, *cell]
     cells = macro_metrics(df, truth, pred, keys).withColumnRenamed("n", "n_covered")
-    totals = cells.groupBy(*by).agg(F.sum("n_covered").alias("n_total"))
+    totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"))
     return (cells.join(totals, list(by)) if by else
             cells.withColumn("n_total", totals.scalar())).withColumn(
         "coverage", F.try_divide(F.col("n_covered"), F.col("n_total")))

@@ -9,6 +9,7 @@ Counts per (group, bucket) are as many as groups times buckets, independent of t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -84,23 +85,56 @@ def smallest(df: DataFrame, order: Column, bucket: Column, limits: DataFrame, id
     return whole.unionByName(edge).drop(*keys, "__order", "__bucket", "__cut")
 
 
+def around_rank(df: DataFrame, column: str, k: int, most: int = 50_000, accuracy: int = 10_000) -> tuple[Any, Any, int]:
+    """(lo, hi, before): the k-th smallest value lies in [lo, hi], ``before`` rows are smaller than lo,
+    and the range holds at most ``most`` rows or a single value.
+
+    A sketch proposes a range around the rank, an exact count checks it, and a range that is still
+    too large is narrowed in the same way.  The driver holds two values and a count.
+    """
+    part, before = df.select(F.col(column).alias("v")), 0
+    n, lo, hi = part.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    while n > most and lo < hi:
+        at, slack = (k - before) / n, 3.0 / accuracy
+        marks = part.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack))), F.lit(accuracy))).first()[0]
+        a, b = (lo if at <= slack else marks[0]), (hi if at >= 1 - slack else marks[1])
+        under, upto = part.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+        if k - before <= under:  # the sketch erred: the rank is below its range
+            a, b, under, upto = lo, a, 0, part.filter(F.col("v") <= a).count()
+        elif k - before > upto:
+            a, b, under, upto = b, hi, part.filter(F.col("v") < b).count(), n
+        if (a, b) == (lo, hi):
+            break  # two values at most, each on many rows
+        part, before, n, lo, hi = part.filter(F.col("v").between(a, b)), before + under, upto - under, a, b
+    return lo, hi, before
+
+
+def first_by(df: DataFrame, column: str, k: int, identity: str) -> DataFrame:
+    """The k rows smallest by ``column``, then identity; only the rows around the limit are ordered."""
+    if k <= 0:
+        return df.limit(0)
+    lo, hi, before = around_rank(df, column, k)
+    if lo is None:
+        return df
+    edge = df.filter(F.col(column).between(lo, hi)).orderBy(column, identity).limit(k - before)
+    return df.filter(F.col(column) < lo).unionByName(edge)
+
+
 def _brackets(data: DataFrame, fractions: Sequence[float], groups: Sequence[str],
-              accuracy: int) -> DataFrame:
+              accuracy: int, whole: bool = False) -> DataFrame:
     """Per group, the row count and value bounds that enclose each order statistic.
 
-    The sketch's rank error is ``n / accuracy``; marks three times as far out are safe.  A
-    group no larger than ``accuracy`` is bracketed by its extremes.
+    The sketch's rank error is ``n / accuracy``; marks three times as far out nearly always hold.
     """
-    slack = 3.0 / accuracy
+    slack = 1.0 if whole else 3.0 / accuracy
     marks = [m for f in fractions for m in (max(0.0, f - slack), min(1.0, f + slack))]
     sketch = F.percentile_approx("__v", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy))
     parts = data.groupBy(*groups).agg(F.count("__v").alias("n"), sketch.alias("marks"),
                                       F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-    small = F.col("n") <= accuracy
     pieces = F.array(*[
         F.struct(F.lit(f).alias("fraction"), F.col("n"),
-                 F.when(small | F.lit(f <= slack), F.col("lo")).otherwise(F.col("marks")[2 * i]).alias("lo"),
-                 F.when(small | F.lit(f >= 1 - slack), F.col("hi")).otherwise(F.col("marks")[2 * i + 1]).alias("hi"))
+                 F.when(F.lit(f <= slack), F.col("lo")).otherwise(F.col("marks")[2 * i]).alias("lo"),
+                 F.when(F.lit(f >= 1 - slack), F.col("hi")).otherwise(F.col("marks")[2 * i + 1]).alias("hi"))
         for i, f in enumerate(fractions)])
     return parts.select(*groups, pieces.alias("__b"))
 
@@ -111,10 +145,22 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float],
 
     A sketch brackets each quantile; one more pass counts the rows under the bracket and keeps
     the distinct values inside it, about ``6 / accuracy`` of the rows, so no task holds the
-    column.  A value shared by many rows is counted, not repeated.
+    column.  A value shared by many rows is counted, not repeated.  The counts also tell whether
+    a bracket holds its quantile; where one misses, the extremes take its place and the values
+    between are counted instead.
     """
     data = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("__v"))
     brackets = measured(_brackets(data, fractions, groups, accuracy))
+    found = measured(_within_brackets(data, brackets, groups))
+    if not found.filter("not held").isEmpty():
+        wide = _brackets(data, fractions, groups, accuracy, whole=True)
+        found = found.filter("held").unionByName(_within_brackets(data, measured(wide), groups).join(
+            found.filter("not held").select(*groups, "fraction"), [*groups, "fraction"], "left_semi"))
+    return found.select(*groups, "fraction", "quantile")
+
+
+def _within_brackets(data: DataFrame, brackets: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The quantiles read off inside their brackets, and whether each bracket ``held`` its own."""
     hinted = (null_safe_join(data, brackets, list(groups)) if groups
               else data.withColumn("__b", brackets.scalar()))
     cells = (hinted.select(*groups, "__v", F.explode("__b").alias("b"))
@@ -125,17 +171,19 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float],
     upto = (Window.partitionBy(*groups, "fraction").orderBy(F.asc_nulls_first("__in"))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = F.col("fraction") * (F.col("__n") - 1)
-    ranked = cells.withColumn("__upto", F.sum("__c").over(upto)).filter(F.col("__in").isNotNull())
+    ranked = cells.withColumn("__upto", F.sum("__c").over(upto))
 
     def nth(position: Column) -> Column:
-        return F.min(F.when(F.col("__upto") > position, F.col("__in")))
+        return F.min(F.when((F.col("__upto") > position) & F.col("__in").isNotNull(), F.col("__in")))
 
     low, high = F.floor(at), F.ceil(at)
+    under = F.coalesce(F.max(F.when(F.col("__in").isNull(), F.col("__c"))), F.lit(0))
     return (ranked.withColumns({"__low": low, "__high": high})
             .groupBy(*groups, "fraction", "__n")
-            .agg(nth(F.col("__low")).alias("__a"), nth(F.col("__high")).alias("__z"))
+            .agg(nth(F.col("__low")).alias("__a"), nth(F.col("__high")).alias("__z"), under.alias("__under"), F.max("__upto").alias("__all"))
             .select(*groups, "fraction",
-                    (F.col("__a") + (F.col("__z") - F.col("__a")) * (at - low)).alias("quantile")))
+                    (F.col("__a") + (F.col("__z") - F.col("__a")) * (at - low)).alias("quantile"),
+                    ((F.col("__under") <= low) & (F.col("__all") > high)).alias("held")))
 
 
 def average_ranks(df: DataFrame, value: str, splits: int = 1024) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from accordant.functions import prompts, text as T
 from accordant.operators import agreement, align, annotate, consensus, dedup, labels, quality, reshape, selection, training
+from accordant.operators.joins import distinct_keys
 from accordant.sources import artefacts
 from accordant.sources.workspace import fresh_path
 
@@ -82,11 +83,17 @@ def consensus_job(annotations: DataFrame, *, dataset: str, order: str, threshold
         problematic=consensus.problematic_cases(table, columns), validation=report, summary=summary)
 
 
-def selection_job(consensus_table: DataFrame, output: str, **options: Any) -> DataFrame:
-    """Select instances, store rows and report, return the stored rows."""
-    rows, report = selection.filter_annotations(consensus_table, **options)
-    artefacts.write_selection(rows, report, output)
-    return consensus_table.sparkSession.read.parquet(f"{output}/rows")
+def selection_job(consensus_table: DataFrame, output: str, *, force: bool = False, **options: Any) -> DataFrame:
+    """Select instances, store rows and report, return the stored rows.
+
+    A selection that is already stored is reused, restricted to the texts of the current table.
+    """
+    spark = consensus_table.sparkSession
+    key = options.get("identity", "text_id")
+    if force or not artefacts.exists(spark, f"{output}/rows"):
+        rows, report = selection.filter_annotations(consensus_table, **options)
+        artefacts.write_selection(rows, report, output)
+    return spark.read.parquet(f"{output}/rows").join(distinct_keys(consensus_table, key), key, "left_semi")
 
 
 def perspectives_job(spark: SparkSession, annotations: DataFrame, path: str, *,

@@ -4,29 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_folds(spark: SparkSession, path: str, train: str = "train_fold_", evaluation: str = "test_fold_",
-               limit: int = 1000) -> DataFrame:
+def fold_numbers(spark: SparkSession, path: str, prefix: str) -> set[int]:
+    """The numbers of all folders ``<prefix><number>`` in a folder, from one listing."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(root)] if system.exists(root) else []
+    return {int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()}
+
+
+def read_folds(spark: SparkSession, path: str, train: str = "train_fold_", evaluation: str = "test_fold_") -> DataFrame:
     """All folds as one table with ``fold`` and ``split``.
 
-    Folds are numbered from 0 and end at the first missing number.  The files of both kinds
-    are read in two scans, whatever the number of folds; the fold comes from the path.
+    Folds are numbered from 0 and end at the first missing number, however many there are.  The
+    folder is listed once per kind and read in two scans; the fold comes from the path.
     """
-    def present(prefix: str, i: int) -> bool:
-        try:
-            spark.read.parquet(f"{path}/{prefix}{i}")
-            return True
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return False
-            raise
-
-    found = 0
-    while found < limit and present(train, found) and present(evaluation, found):
-        found += 1
+    present = fold_numbers(spark, path, train) & fold_numbers(spark, path, evaluation)
+    found = next(i for i in range(len(present) + 1) if i not in present)
     if not found:
         raise ValueError(f"no folds under {path}")
 

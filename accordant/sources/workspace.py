@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_NAMED: dict[str, str] = {}
+
+
+def use_folder(folder: str | None) -> None:
+    """Name the shared folder for sessions that leave ``spark.checkpoint.dir`` unset."""
+    _NAMED.clear()
+    if folder:
+        _NAMED["folder"] = folder
+
+
+def is_named(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or _NAMED)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the session names in ``spark.checkpoint.dir``.
+    """The folder of this application's tables, below the one ``spark.checkpoint.dir`` names.
 
-    Only where it is unset, as on a laptop or in tests, a local folder stands in.
+    Executors and driver must share it, so there is no fallback to a local folder: without the
+    setting, and without ``use_folder``, this is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="accordant-")
-        spark.sparkContext.setCheckpointDir(_LOCAL[app])
-    return _LOCAL[app]
+    named = spark.conf.get("spark.checkpoint.dir", None) or _NAMED.get("folder")
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> bool:
+    """Delete every intermediate table of this application, once no DataFrame reads them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

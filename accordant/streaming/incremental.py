@@ -17,20 +17,27 @@ def annotate_stream(texts: DataFrame, annotate: Callable[[DataFrame], DataFrame]
     """A writer that annotates texts not yet in the sink, batch by batch.
 
     Copies inside a batch are reduced to the first, texts stored by earlier batches are left
-    out by an anti join.  Each batch writes its own ``batch_id`` partition with overwrite, so a
-    batch repeated after a failure replaces its rows instead of adding to them.
+    out by an anti join.  The join reads a narrow table of done keys beside the sink, laid out by
+    key prefix, and of it only the prefixes that the batch holds.  Each batch writes its own
+    ``batch_id`` partition with overwrite, so a batch repeated after a failure replaces its rows
+    instead of adding to them.
     """
+    prefix = F.substring(F.md5(F.col(key).cast("string")), 1, 2)
+
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = keep_first(batch, key, order)
         try:
-            stored = spark.read.parquet(sink)
-            done = stored.filter(F.col("batch_id") != F.lit(batch_id)).select(key)
+            here = [r[0] for r in batch.select(prefix.alias("p")).distinct().collect()]  # 256 at most
+            done = spark.read.option("recursiveFileLookup", "false").parquet(f"{sink}-keys").filter(
+                F.col("prefix").isin(here) & (F.col("batch_id") != F.lit(batch_id))).select(key)
             fresh = remaining_texts(fresh, done, key)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         annotate(fresh).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        keys = spark.read.parquet(f"{sink}/batch_id={batch_id}").select(key).distinct()
+        keys.withColumn("prefix", prefix).write.mode("overwrite").partitionBy("prefix").parquet(f"{sink}-keys/batch_id={batch_id}")
 
     return texts.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -31,7 +32,8 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("bench", cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, memory="12g")
+    spark = local_session("bench", cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, memory="12g",
+                          **{"spark.checkpoint.dir": Path(tempfile.mkdtemp(prefix="bench-")).as_uri()})
     REGISTRY["consensus_levels"].query(spark, sf_dir).collect()  # start-up is not part of a query
     timings = {}
     for name in HEADLINE:

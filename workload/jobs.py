@@ -17,34 +17,53 @@ from workload.tables import CV, DESC, FOLDS, UNIQ, cv_folds, deduped
 MODELS = ["m1", "m2"]
 
 
-def hashing_annotator():
-    """Stands in for a model: answers by digits of md5(model|rep|prompt)."""
+#: Words that mark a language, by label (DESCRIPTIONS); a model leaves out one of each per repetition.
+MARKERS = [("und", "die", "der"), ("the", "and", "of"), ("que", "el", "los"), ("le", "les", "des")]
+
+
+def left_out(model: str, rep: int) -> int:
+    return (rep + MODELS.index(model)) % 3
+
+
+def marker_annotator():
+    """Names the language of a prompt by its marker words, with add-one shares as confidence."""
     def annotate(frame):
-        import hashlib
+        import math
 
         import pandas as pd
 
-        def digest(r):
-            return hashlib.md5(f"{r.model}|{r.rep}|{r.prompt}".encode()).hexdigest()
-
-        found = [digest(r) for r in frame.itertuples()]
-        labels = [int(d[:4], 16) % 4 for d in found]
+        skip = [left_out(m, r) for m, r in zip(frame["model"], frame["rep"])]
+        counts = pd.DataFrame(index=frame.index)
+        for label, words in enumerate(MARKERS):
+            found = [frame["prompt"].str.count(f" {w} ") for w in words]
+            counts[label] = sum(n.where([k != i for k in skip], 0) for i, n in enumerate(found))
+        labels, most, total = counts.idxmax(axis=1), counts.max(axis=1), counts.sum(axis=1)
         return pd.DataFrame({
             "content": [f"CLASSIFICATION: {v}" for v in labels],
-            "logprobs": [[{"token": str(v), "logprob": -int(d[4:8], 16) / 65536.0}] for v, d in zip(labels, found)]})
+            "logprobs": [[{"token": str(v), "logprob": math.log((1 + m) / (4 + n))}] for v, m, n in zip(labels, most, total)]})
 
     return annotate
 
 
 def prompts_of(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", "text", T.text_id("text").alias("text_id"), F.md5("text").alias("prompt"))
+    return docs.withColumns({"text_id": T.text_id("text"), "prompt": F.col("text")})
+
+
+def _times(prompt: str, word: str) -> str:
+    return f"((length({prompt}) - length(replace({prompt}, ' {word} ', ''))) // {len(word) + 2})"
+
 
+def rule_sql(prompt: str, model: str, rep: int) -> tuple[str, str]:
+    """SQL for the annotator's label and confidence."""
+    c = ["(" + " + ".join(_times(prompt, w) for i, w in enumerate(words) if i != left_out(model, rep)) + ")" for words in MARKERS]
+    label = f"list_position([{', '.join(c)}], greatest({', '.join(c)})) - 1"
+    return f"cast({label} AS int)", f"(1 + greatest({', '.join(c)})) / (4e0 + {' + '.join(c)})"
 
-CALLS = f"""
-calls AS (SELECT doc_id, model, rep, h, cast(('0x' || substr(h, 1, 4))::INT % 4 AS int) AS label, exp(-(('0x' || substr(h, 5, 4))::INT / 65536e0)) AS conf
-          FROM (SELECT doc_id, model, rep, md5(model || '|' || rep || '|' || md5(text)) AS h
-                FROM documents, (SELECT unnest(['m1', 'm2']) AS model), (SELECT unnest([0, 1, 2]) AS rep)))"""
+
+CALLS = "calls AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{m}' AS model, {r} AS rep, {rule_sql('text', m, r)[0]} AS label, {rule_sql('text', m, r)[1]} AS conf FROM documents"
+    for m in MODELS for r in range(3)) + ")"
 
 
 @register("annotate_job", f"""WITH {CALLS}
@@ -52,7 +71,7 @@ SELECT doc_id, model AS annotator, cast(rep as int) AS rep, label, round(conf, 9
 def annotate_job(spark, sf_dir):
     reqs = N.requests(prompts_of(spark, sf_dir), MODELS, 3, keep=("doc_id", "text_id"))
     cache = fresh_path(spark, "responses")
-    answered = N.call_with_cache(reqs, hashing_annotator(), cache)
+    answered = N.call_with_cache(reqs, marker_annotator(), cache)
     return N.parse(answered, CATEGORIES).select("doc_id", "annotator", "rep", "label", F.round("confidence", 9).alias("confidence"))
 
 
@@ -64,13 +83,30 @@ def cached_calls(spark, sf_dir):
     """Requests against responses stored: the second run adds no call."""
     docs = prompts_of(spark, sf_dir)
     cache = fresh_path(spark, "responses")
-    N.call_with_cache(N.requests(docs, MODELS, 2, keep=("doc_id",)), hashing_annotator(), cache)
-    both = N.call_with_cache(N.requests(docs, MODELS, 3, keep=("doc_id",)), hashing_annotator(), cache)
+    N.call_with_cache(N.requests(docs, MODELS, 2, keep=("doc_id",)), marker_annotator(), cache)
+    both = N.call_with_cache(N.requests(docs, MODELS, 3, keep=("doc_id",)), marker_annotator(), cache)
+    # A job that wrote the same keys at the same time: the cache still answers each key once.
+    spark.read.parquet(cache).limit(50).write.mode("append").parquet(cache)
+    again = N.call_with_cache(N.requests(docs, MODELS, 3, keep=("doc_id",)), marker_annotator(), cache)
     stored_calls = N.read_cache(spark, cache).agg(F.count(F.lit(1)))
+    both = both.unionByName(again).groupBy("cache_key", "doc_id", "rep", "annotator").agg(F.max("content").alias("content"), F.count(F.lit(1)).alias("n")).filter("n = 2")
     return both.filter(F.col("content").isNotNull()).agg(F.count(F.lit(1)).alias("requests")).withColumn(
         "calls", stored_calls.scalar())
 
 
+@register("cache_statistics", """
+WITH k AS (SELECT md5(model || '|' || text || '|{"rep": ' || rep || '}') AS cache_key, rep
+           FROM documents, (SELECT unnest(['m1', 'm2']) AS model), (SELECT unnest([0, 1, 2]) AS rep))
+SELECT count(*) AS requests, count(DISTINCT cache_key) AS keys, count(*) FILTER (WHERE rep < 2) AS hits, count(*) FILTER (WHERE rep = 2) AS misses,
+       count(DISTINCT cache_key) FILTER (WHERE rep < 2) AS stored FROM k""")
+def cache_statistics(spark, sf_dir):
+    """What a run of three repetitions would find after one of two."""
+    docs = prompts_of(spark, sf_dir)
+    cache = fresh_path(spark, "responses")
+    N.call_with_cache(N.requests(docs, MODELS, 2, keep=("doc_id",)), marker_annotator(), cache)
+    return N.cache_statistics(N.requests(docs, MODELS, 3, keep=("doc_id",)), cache)
+
+
 @register("annotation_wide", f"""WITH {CALLS},
 one AS (SELECT doc_id, model, label, count(*) AS n, row_number() OVER (PARTITION BY doc_id, model ORDER BY count(*) DESC, min(rep)) AS rk
         FROM calls GROUP BY doc_id, model, label)
@@ -81,7 +117,7 @@ SELECT doc_id, max(label) FILTER (WHERE model = 'm1' AND rep = 0) AS m1_rep1, ma
 FROM calls GROUP BY doc_id""")
 def annotation_wide(spark, sf_dir):
     reqs = N.requests(prompts_of(spark, sf_dir), MODELS, 3, keep=("doc_id", "text_id"))
-    answered = N.call_with_cache(reqs, hashing_annotator(), fresh_path(spark, "responses"))
+    answered = N.call_with_cache(reqs, marker_annotator(), fresh_path(spark, "responses"))
     wide = N.to_wide(N.parse(answered, CATEGORIES), MODELS, 3, "doc_id")
     return wide.select("doc_id", "m1_rep1", "m2_rep3", F.round("m1_rep2_conf", 9).alias("m1_rep2_conf"),
                        "m1_consensus", "m2_consensus_score")
@@ -96,8 +132,8 @@ def model_variants(spark, sf_dir):
 
 
 @register("stream_resume", f"""
-SELECT text_id, cast(('0x' || substr(md5('m1|0|' || text_id), 1, 4))::INT % 4 AS int) AS label
-FROM (SELECT DISTINCT md5({sql_strip('text')}) AS text_id FROM documents)""")
+SELECT text_id, {rule_sql('text', 'm1', 0)[0]} AS label FROM (
+  SELECT text, md5({sql_strip('text')}) AS text_id, row_number() OVER (PARTITION BY md5({sql_strip('text')}) ORDER BY doc_id % 2, doc_id) AS rk FROM documents) WHERE rk = 1""")
 def stream_resume(spark, sf_dir):
     """Annotate half of the documents, then all of them: the second run does only the rest."""
     source, sink, state = (fresh_path(spark, n) for n in ("incoming", "annotated", "progress"))
@@ -105,8 +141,8 @@ def stream_resume(spark, sf_dir):
     shape = "doc_id bigint, text string"
 
     def annotate(batch):
-        reqs = N.requests(batch.withColumn("prompt", F.col("text_id")), ["m1"], 1)
-        answers = reqs.drop("prompt", "text").join(N.call(reqs, hashing_annotator()), "cache_key")
+        reqs = N.requests(batch.withColumn("prompt", F.col("text")), ["m1"], 1)
+        answers = reqs.drop("prompt", "text").join(N.call(reqs, marker_annotator()), "cache_key")
         return N.parse(answers, CATEGORIES).select("text_id", "label")
 
     def run():
@@ -176,29 +212,43 @@ def training_folds(spark, sf_dir):
     return out.groupBy("fold", "split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _estimator():
-    return TR.default_estimator(dims=1 << 12, iterations=20)
+@register("training_folds_per_annotator", with_votes("""
+SELECT fold, split, count(*) AS n, count(DISTINCT text_id) AS texts FROM (
+  SELECT t.fold, 'train' AS split, text_id FROM long JOIN d0 USING (doc_id) JOIN (SELECT DISTINCT fold, text_id FROM cv WHERE split = 'train') t USING (text_id) WHERE long.label <> -1
+  UNION ALL SELECT fold, 'val', text_id FROM cv WHERE split = 'val' AND NOT EXISTS
+    (SELECT 1 FROM (SELECT DISTINCT fold, text_id FROM cv WHERE split = 'train') t WHERE t.fold = cv.fold AND t.text_id = cv.text_id
+     AND t.text_id IN (SELECT text_id FROM long JOIN d0 USING (doc_id) WHERE long.label <> -1))) GROUP BY ALL""", FOLDS, UNIQ, CV))
+def training_folds_per_annotator(spark, sf_dir):
+    """Every annotator's vote is a training row, so ids repeat."""
+    votes = TR.perspective_set(annotations(spark, sf_dir))
+    out = jobs.training_job(cv_folds(spark, sf_dir), votes, per_annotator=True)
+    return out.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text_id").alias("texts"))
+
+
+def aligned_texts(spark, sf_dir, folds):
+    """Aligned folds, each text fetched once at the end."""
+    unique = deduped(spark, sf_dir)
+    return jobs.training_job(folds, TR.aggregated_set(unique)).join(unique.select("text_id", "text"), "text_id")
 
 
 @register("cv_eval")
 def cv_eval(spark, sf_dir):
     """Folds trained on annotated labels and scored on true ones, with mean and deviation."""
-    aligned = jobs.training_job(cv_folds(spark, sf_dir), TR.aggregated_set(deduped(spark, sf_dir)))
-    rows = stored(aligned, "aligned", ["fold"])
-    return TR.cv_summary(TR.cross_validate(rows, CATEGORIES, _estimator))
+    rows = stored(aligned_texts(spark, sf_dir, cv_folds(spark, sf_dir)), "aligned", ["fold"])
+    return TR.cv_summary(TR.cross_validate(rows, CATEGORIES))
 
 
 @register("cv_compare_sources")
 def cv_compare(spark, sf_dir):
     """The same folds trained on true and on consensus labels."""
     folds = cv_folds(spark, sf_dir)
-    consensus = stored(jobs.training_job(folds, TR.aggregated_set(deduped(spark, sf_dir))), "aligned", ["fold"])
+    consensus = stored(aligned_texts(spark, sf_dir, folds), "aligned", ["fold"])
     truth = folds.filter("split = 'train'").select("fold", "text_id", F.col("label").alias("true")).groupBy(
         "fold", "text_id").agg(F.min("true").alias("true"))
     gold = stored(consensus.join(truth, ["fold", "text_id"], "left").withColumn(
         "label", F.when(F.col("split") == "train", F.coalesce("true", "label")).otherwise(F.col("label"))).drop("true"), "gold", ["fold"])
-    return TR.compare_label_sources(TR.cross_validate(gold, CATEGORIES, _estimator),
-                                    TR.cross_validate(consensus, CATEGORIES, _estimator), "documents")
+    return TR.compare_label_sources(TR.cross_validate(gold, CATEGORIES),
+                                    TR.cross_validate(consensus, CATEGORIES), "documents")
 
 
 # --- whole jobs ------------------------------------------------------------------------------
@@ -236,14 +286,14 @@ def perspectives_job(spark, sf_dir):
     return again.groupBy("llm").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("annotation_job", """
+@register("annotation_job", f"""
 SELECT count(*) AS texts, sum(text_len)::BIGINT AS chars, count(*) FILTER (WHERE m1 = m2) AS agreeing FROM (
-  SELECT text_len, ('0x' || substr(md5('m1|0|' || p), 1, 4))::INT % 4 AS m1, ('0x' || substr(md5('m2|0|' || p), 1, 4))::INT % 4 AS m2
+  SELECT text_len, {rule_sql('p', 'm1', 0)[0]} AS m1, {rule_sql('p', 'm2', 0)[0]} AS m2
   FROM (SELECT length(text) AS text_len, 'Q: ' || text || chr(10) || '- 0: german' || chr(10) || '- 1: english' || chr(10) || '- 2: spanish' || chr(10) || '- 3: french' AS p
-        FROM (SELECT text, row_number() OVER (PARTITION BY """ + f"md5({sql_strip('text')})" + """ ORDER BY doc_id) AS rk FROM documents) WHERE rk = 1))""")
+        FROM (SELECT text, row_number() OVER (PARTITION BY md5({sql_strip('text')}) ORDER BY doc_id) AS rk FROM documents) WHERE rk = 1))""")
 def annotation_job(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    wide = jobs.annotation_job(docs, hashing_annotator(), MODELS, categories=CATEGORIES, meanings=DESCRIPTIONS,
+    wide = jobs.annotation_job(docs, marker_annotator(), MODELS, categories=CATEGORIES, meanings=DESCRIPTIONS,
                                template="Q: {text}\n{categories}", order="doc_id", cache=fresh_path(spark, "responses"))
     return wide.agg(F.count(F.lit(1)).alias("texts"), F.sum("text_len").cast("bigint").alias("chars"),
                     F.count_if(F.col("m1_consensus") == F.col("m2_consensus")).alias("agreeing"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from accordant.functions import confidence as K
 from accordant.operators import audit as A, consensus as C, quality as Q, selection as S, weighting as W
+from accordant.plans import jobs
 from accordant.sources import artefacts
 from accordant.sources.workspace import fresh_path
 from workload.agreement import r9
@@ -36,8 +37,7 @@ def tfidf_weights(spark, sf_dir):
 def tfidf_vocabulary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = W.term_counts(docs, "doc_id", stop_words=STOP)
-    return (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
-            .filter(F.col("df") >= W.MIN_DF))
+    return W.vocabulary(counts)
 
 
 # Class probabilities drawn per row: the selection rules can then be checked to the row.
@@ -103,12 +103,28 @@ def exclude_unlabeled(spark, sf_dir):
 def bio_is(spark, sf_dir):
     """Reduction, removals and weak-classifier scores over the deduplicated table."""
     rows = deduped(spark, sf_dir).select("text_id", "text", "resolved_annotation", "consensus_level", "ground_truth")
-    selected, report = S.filter_annotations(rows, dims=1 << 12)
+    selected, report = S.filter_annotations(rows)
     path = fresh_path(spark, "selection")
     artefacts.write_selection(selected, report, path)
     return spark.read.json(f"{path}/report")
 
 
+@register("selection_job_totals", with_votes("""
+SELECT count(*) AS total_instances, count(*) FILTER (WHERE mode <> -1) AS labeled_instances, count(*) FILTER (WHERE mode = -1) AS excluded_instances,
+       cast(floor(0.25 * count(*) FILTER (WHERE mode <> -1)) AS bigint) AS removed_redundant, true AS reused FROM uniq""", UNIQ))
+def selection_job_totals(spark, sf_dir):
+    """A stored selection: the counts its rules fix, and that a second call reuses the stored rows."""
+    rows = deduped(spark, sf_dir).select("text_id", "text", "resolved_annotation", "consensus_level", "ground_truth")
+    path = fresh_path(spark, "selection")
+    done = jobs.selection_job(rows, path)
+    again = jobs.selection_job(rows, path)
+    what = F.col("selection")
+    counts = done.agg(
+        F.count(F.lit(1)).alias("total_instances"), F.count_if(what != "excluded").alias("labeled_instances"),
+        F.count_if(what == "excluded").alias("excluded_instances"), F.count_if(F.col("removal_reason") == "redundant").alias("removed_redundant"))
+    return counts.withColumn("reused", F.lit(sorted(done.inputFiles()) == sorted(again.inputFiles())))
+
+
 # Outcome of a selection by hash digits, so that the audit can be checked row by row.
 MARK = f"""
 mk AS (SELECT c.*, case when roll < 16384 then 'redundant' when roll < 24576 then 'noise' end AS reason,

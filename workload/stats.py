@@ -460,11 +460,10 @@ def corr_matrix(spark, sf_dir):
 SELECT 'mean_confidence' AS column_1, 'std_confidence' AS column_2, round(corr(ra, rb_), 8) AS rho FROM (
   SELECT rank() OVER (ORDER BY mean_confidence) + (count(*) OVER (PARTITION BY mean_confidence) - 1) / 2e0 AS ra,
          rank() OVER (ORDER BY std_confidence) + (count(*) OVER (PARTITION BY std_confidence) - 1) / 2e0 AS rb_
-  FROM (SELECT round(mean_confidence, 2) AS mean_confidence, round(std_confidence, 2) AS std_confidence FROM rb))""", REG))
+  FROM rb)""", REG))
 def spearman(spark, sf_dir):
     cols = ["mean_confidence", "std_confidence"]
-    rows = base(spark, sf_dir).select(*[F.round(c, 2).alias(c) for c in cols])
-    return R.spearman(rows, cols).withColumn("rho", F.round("rho", 8))
+    return R.spearman(base(spark, sf_dir).select(*cols), cols).withColumn("rho", F.round("rho", 8))
 
 
 @register("vif", with_votes("""

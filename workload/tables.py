@@ -70,14 +70,14 @@ def join_gt(spark, sf_dir):
 
 
 @register("align_gt_annotations", with_votes("""
-SELECT text_id, substr(text, 1, 100) AS text, ground_truth AS truth_label, mode AS annotated_label FROM uniq
+SELECT text_id, md5(text) AS text_digest, ground_truth AS truth_label, mode AS annotated_label FROM uniq
 WHERE ground_truth IS NOT NULL""", UNIQ))
 def align(spark, sf_dir):
     full = deduped(spark, sf_dir)
     truth = full.filter("ground_truth is not null").select("text_id", "text", "ground_truth")
     out = J.align_one_to_one(truth, full.select("text_id", "resolved_annotation"), "ground_truth",
                              "resolved_annotation")
-    return out.withColumn("text", T.excerpt("text"))
+    return out.withColumn("text_digest", F.md5("text")).drop("text")
 
 
 @register("drop_invalid_texts", with_votes("""
@@ -192,12 +192,12 @@ def fold_assignment(spark, sf_dir):
 
 
 def cv_folds(spark, sf_dir):
-    """(fold, split, text_id, text, label): every row trains in all folds but its own."""
+    """(fold, split, text_id, label): every row trains in all folds but its own.  Texts stay behind."""
     rows = fold_assignment_rows(spark, sf_dir)
     each = F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("f")
-    return rows.select("doc_id", "text_id", "text", "label", "fold", each).select(
+    return rows.select("doc_id", "text_id", "label", "fold", each).select(
         F.col("f").alias("fold"), F.when(F.col("f") == F.col("fold"), "val").otherwise("train").alias("split"),
-        "doc_id", "text_id", "text", "label")
+        "doc_id", "text_id", "label")
 
 
 CV = """
@@ -533,11 +533,12 @@ def prompt(spark, sf_dir):
 
 
 @register("few_shot_prompt", """
-WITH ex AS (SELECT string_agg('Text: ' || text || chr(10) || 'Category: ' || item_id, chr(10) || chr(10) ORDER BY item_id) AS e FROM benchmark)
+WITH ex AS (SELECT string_agg('Text: ' || text || chr(10) || 'Category: ' || item_id, chr(10) || chr(10) ORDER BY item_id) AS e
+  FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 4))
 SELECT doc_id, md5('Examples' || chr(10) || e || chr(10) || 'Now: ' || text) AS prompt_id FROM documents, ex""")
 def few_shot(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.col("item_id").alias("category"))
-    shown = prompts.example_block(items, "item_id").scalar()
+    shown = prompts.example_block(items, "item_id", shots=4).scalar()
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(prompts.render(
         "Examples\n{examples}\nNow: {text}", "text", meanings=DESCRIPTIONS, examples=shown)).alias("prompt_id"))
 

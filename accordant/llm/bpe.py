@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from accordant.llm.common import arrow_map, whole_text
 from accordant.llm.tokens import byte_level, packed
+from accordant.sources.workspace import stored
 
 #: Code points before a chunk's end within which a boundary could still move: the pattern's longest contraction and one more.
 _UNSURE = 4
@@ -30,10 +31,19 @@ def chunk_count(n: Column, chunk: int, overlap: int) -> Column:
     return F.greatest(F.lit(1), F.ceil((n - overlap) / chunk)).cast("int")
 
 
-def stitch_points(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(key, cuts): the sorted code points at which each (key, text) may be cut."""
+def chunks_of(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(key, i, part): the overlapping chunks of each (key, text)."""
     number = chunk_count(F.char_length("text"), chunk, overlap)
-    rows = texts.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk + overlap)))).alias("i", "part"))
+    parts = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk + overlap)))
+    return rows.select("key", F.posexplode(parts).alias("i", "part"))
+
+
+def stitches(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(key, i, piece, a, b): the stretch [a, b) of chunk i that belongs to a piece; null b is the chunk's end.
+
+    A piece begins at a chunk's first boundary that its predecessor shares, and is numbered by that
+    chunk.  After a chunk without one, nothing is known any more and the piece goes on.
+    """
 
     def scan(columns: dict[str, list]) -> dict[str, list]:
         head, tail = [], []
@@ -43,22 +53,25 @@ def stitch_points(texts: DataFrame, pattern: str, chunk: int, overlap: int) -> D
             tail.append([s - chunk for s in sure if s >= chunk])
         return {"key": columns["key"], "i": columns["i"], "head": head, "tail": tail}
 
-    # Chunks of one text go to different tasks.
-    seen = arrow_map(rows.repartition(F.xxhash64("key", "i")), scan, "key binary, i int, head array<int>, tail array<int>", rows=16)
+    # Chunks of one text go to different tasks; only boundaries in the overlaps move on.
+    seen = arrow_map(chunks.repartition(F.xxhash64("key", "i")), scan, "key binary, i int, head array<int>, tail array<int>", rows=16)
     order = Window.partitionBy("key").orderBy("i")
-    shared = F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head")))
-    joined = seen.select("key", "i", shared.alias("at"))
-    broken = F.max((F.col("at").isNull() & (F.col("i") > 0)).cast("int")).over(order)  # nothing after a missing join is known
-    sound = joined.select("key", "i", "at", broken.alias("broken")).filter("i > 0 and broken = 0")
-    return sound.groupBy("key").agg(F.array_sort(F.collect_list(F.col("i") * chunk + F.col("at"))).alias("cuts"))
+    at = F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head")))
+    joined = seen.dropDuplicates(["key", "i"]).select("key", "i", F.when(F.col("i") == 0, 0).otherwise(at).alias("at"))
+    unbroken = F.min(F.col("at").isNotNull()).over(order)
+    sound = joined.select("key", "i", F.when(unbroken, F.col("at")).alias("at"))
+    piece = F.max(F.when(F.col("at").isNotNull(), F.col("i"))).over(order)
+    last = F.lead("i").over(order).isNull()
+    end = F.when(~last, chunk + F.coalesce(F.lead("at").over(order), F.lit(0)))
+    return sound.select("key", "i", piece.alias("piece"), F.coalesce("at", F.lit(0)).alias("a"), end.alias("b"), (F.lead("at").over(order).isNull() & ~last).alias("open"))
 
 
 def encode(docs: DataFrame, *, vocabulary: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text",
            chunk: int = 16_384, overlap: int = 512) -> DataFrame:
     """(id, ids) per row: ``ids`` packs the tokens as little-endian unsigned 32-bit integers.
 
-    Null texts are empty and have no ids; repeated rows are returned as often; other columns are left
-    out.  Long texts that occur several times are encoded once.
+    Null texts are empty and have no ids; repeated rows are returned as often, rows without an id too;
+    other columns are left out.
     """
     if overlap <= 2 * _UNSURE or chunk <= overlap:
         raise ValueError("a chunk must be longer than its overlap, and that longer than 8")
@@ -71,18 +84,22 @@ def encode(docs: DataFrame, *, vocabulary: str = "byte_bpe_multi_50k.tiktoken",
 
     short = arrow_map(rows.filter(~is_long), plain, f"id {kind}, ids binary", rows=64)
 
-    keyed = rows.filter(is_long).withColumn("key", F.unhex(F.sha2("text", 256)))
-    texts = keyed.groupBy("key", "text").agg(F.lit(1)).select("key", "text")
-    pattern = byte_level(vocabulary).pattern
-    cuts = F.coalesce("cuts", F.array().cast("array<int>"))
-    spans = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("a"), F.concat(cuts, F.array(F.char_length("text"))).alias("b"))
-    pieces = texts.join(stitch_points(texts, pattern, chunk, overlap), "key", "left").select("key", F.posexplode(F.transform(spans, lambda s: F.substring(F.col("text"), s["a"] + 1, s["b"] - s["a"]))).alias("i", "text"))
+    keyed = rows.filter(is_long).withColumn("key", F.unhex(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "text"), 256)))
+    chunks = chunks_of(keyed, chunk, overlap)
+    known = stored(stitches(chunks, byte_level(vocabulary).pattern, chunk, overlap), "stitches")
+    cut = F.substring(F.col("part"), F.col("a") + 1, F.coalesce(F.col("b") - F.col("a"), F.char_length("part")))
+    # The stitches are the narrow side of the join; hashing them spares a sort of the chunks.
+    slices = chunks.join(known.hint("shuffle_hash"), ["key", "i"]).select("key", "i", "piece", "open", cut.alias("text"))
 
     def piece(columns: dict[str, list]) -> dict[str, list]:
-        return {"key": columns["key"], "i": columns["i"], "ids": [packed(byte_level(vocabulary).encode(t)) for t in columns["text"]]}
-
-    coded = arrow_map(pieces.repartition(F.xxhash64("key", "i")), piece, "key binary, i int, ids binary", rows=16)
-    whole = coded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
+        return {"key": columns["key"], "piece": columns["piece"], "ids": [packed(byte_level(vocabulary).encode(t)) for t in columns["text"]]}
+
+    # Nearly every piece lies in one chunk; one that goes on is put together first.
+    one = slices.filter(~F.col("open") & (F.col("piece") == F.col("i"))).select("key", "piece", "text")
+    several = slices.filter(F.col("open") | (F.col("piece") != F.col("i"))).groupBy("key", "piece").agg(F.array_sort(F.collect_set(F.struct("i", "text"))).alias("s"))
+    several = several.select("key", "piece", F.array_join(F.col("s.text"), "").alias("text"))
+    coded = arrow_map(one.unionByName(several), piece, "key binary, piece int, ids binary", rows=16)
+    whole = coded.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("piece", "ids"))).alias("parts"))
     whole = whole.select("key", F.aggregate("parts", F.lit(b""), lambda done, p: F.concat(done, p["ids"])).alias("ids"))
     long = keyed.select("id", "key").join(whole, "key").select("id", "ids")
     return short.unionByName(long).withColumnRenamed("id", id_col)

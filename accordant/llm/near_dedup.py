@@ -79,6 +79,26 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: For each register, the order in which it looks for a filled one if its own bucket is empty.
+_ORDER = np.stack([np.random.default_rng(k).permutation(REGISTERS) for k in range(REGISTERS)])
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Registers without empty ones: an empty bucket borrows from the first filled one in its order.
+
+    Each register of two sets then agrees with about their Jaccard similarity, however small the
+    sets; without this, a band of a short text would rest on one shingle.
+    """
+    filled = regs != EMPTY
+    if filled.all() or not filled.any():
+        return regs
+    empty = np.flatnonzero(~filled)
+    order = _ORDER[empty]
+    out = regs.copy()
+    out[empty] = regs[order[np.arange(len(empty)), filled[order].argmax(axis=1)]]
+    return out
+
+
 def estimates(regs: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(collision-corrected Jaccard estimates, registers they rest on) of all rows against all others."""
     f, k = np.zeros((len(regs), len(others))), np.zeros((len(regs), len(others)))
@@ -152,24 +172,22 @@ def _parts(linked: np.ndarray) -> list[list[int]]:
 
 
 def signatures(docs: DataFrame, *, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, key, registers): ``key`` is a 128-bit digest of the whole set."""
+    """(id, n_shingles, key, registers): ``key`` is a 128-bit digest of the whole set; registers are densified."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def one(columns: dict[str, list]) -> dict[str, list]:
         sets = [shingle_hashes(t, width) for t in columns["text"]]
         return {"id": columns["id"], "n_shingles": list(map(len, sets)), "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "registers": [registers(s).tobytes() for s in sets]}
+                "registers": [densified(registers(s)).tobytes() for s in sets]}
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     return arrow_map(rows, one, f"id {kind}, n_shingles bigint, key binary, registers binary", rows=64)
 
 
 def band_keys(regs: Column, per_band: int) -> Column:
-    """One hash per band of registers that is not empty throughout."""
+    """One hash per band of registers."""
     size = 2 * per_band
-    void = b"\xff" * size
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // per_band - 1)), lambda b: F.struct(b.alias("b"), F.substring(regs, b * size + 1, F.lit(size)).alias("r")))
-    return F.transform(F.filter(bands, lambda x: x["r"] != F.lit(void)), lambda x: F.xxhash64(x["b"], x["r"]))
+    return F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // per_band - 1)), lambda b: F.xxhash64(b, F.substring(regs, b * size + 1, F.lit(size))))
 
 
 def coarse_groups(classes: DataFrame, per_band: int) -> DataFrame:

@@ -3,13 +3,14 @@
 Every line is read as character shingles that begin at its units: the ``width`` characters from the
 start of each word (or of each character, in scripts written without spaces), over at most
 ``units`` units.  MinHash values over the shingles are banded for high recall; lines that share a band
-bucket are compared with the bucket's leader by the exact Jaccard similarity of their sets, and
-those the leader does not take are compared again among themselves, until no bucket has two
-left.  Distributed union-find joins the links, and one line of each component stays.
+bucket are compared with several leaders of the bucket by the exact Jaccard similarity of their
+sets.  Distributed union-find joins the links.  A bucket whose lines then hang together is done; any
+other one meets four times as many leaders, and so on until all hang together or all have met.
+One line of each component stays.
 
 Bounds: copies of a line are one row after the first, map-side combined, aggregate.  A bucket is
-never gathered: a round costs one aggregate (its leader) and one join, and the only pairs that
-exist are those of a member and its leader.  The one broadcast is a set of hash slots of fixed
+never gathered: leaders are drawn by hash and joined, so a round makes a few pairs per member, and
+a bucket of near copies settles in the first.  The one broadcast is a set of hash slots of fixed
 size; it spares moving lines without a partner and may pass too many, never too few.
 """
 
@@ -72,30 +73,38 @@ def only_near(df: DataFrame, keys: DataFrame, column: str = "key") -> DataFrame:
     return df.join(F.broadcast(slots), _slot(column) == F.col("slot"), "left_semi")
 
 
-def links(lines: DataFrame, *, width: int, span: int, n_bands: int, n_rows: int, percent: int) -> DataFrame:
+def links(lines: DataFrame, *, width: int, span: int, n_bands: int, n_rows: int, percent: int, leaders: int = 8) -> DataFrame:
     """(a, b) keys of lines whose sets share at least ``percent`` percent of their union."""
     signed = stored(bands(lines, width=width, span=span, bands=n_bands, rows=n_rows), "line-bands")
     members = signed.select("key", F.explode("bands").alias("bucket"))
-    # The least of key XOR bucket: another leader in every band.
-    leaders = members.groupBy("bucket").agg(F.min(F.col("key").bitwiseXOR(F.col("bucket"))).alias("lead"), F.count(F.lit(1)).alias("n"))
-    leaders = stored(leaders.filter("n > 1").select("bucket", F.col("lead").bitwiseXOR(F.col("bucket")).alias("lead")), "line-leaders")
-    pending = stored(only_near(members, leaders, "bucket").join(leaders, "bucket").select("bucket", "key", "lead"), "line-members")
-    wanted = pending.select("key").distinct()
+    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-buckets")
+    pending = stored(only_near(members, shared, "bucket").join(shared, "bucket").select("bucket", "key", "n"), "line-members")
+    # A line that meets many others is the best centre of its buckets.
+    degree = stored(pending.groupBy("key").agg(F.sum("n").alias("degree")), "line-degrees")
+    wanted = degree.select("key")
     sets = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
     sets = stored(sets.select("key", shingle_set(F.col("line"), width, span).alias("set")), "line-sets")
-    found = None
+    left, right = sets.withColumnRenamed("set", "s"), sets.select(F.col("key").alias("lead"), F.col("set").alias("t"))
+    centre = pending.join(degree, "key").groupBy("bucket").agg(F.max_by("key", F.col("degree") * SLOTS + _slot("key")).alias("lead"))
+    centre = stored(centre, "line-centres")
+    found, count = None, leaders
     while True:
-        pairs = pending.filter("key != lead").select("key", "lead").distinct()
-        left, right = sets.withColumnRenamed("set", "s"), sets.select(F.col("key").alias("lead"), F.col("set").alias("t"))
+        drawn = pending.filter(F.pmod(F.xxhash64("key", "bucket"), F.col("n")) < count).select("bucket", F.col("key").alias("lead"))
+        met = pending.join(drawn.unionByName(centre), "bucket").filter("key != lead")
+        pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
         both = F.size(F.array_intersect("s", "t"))
         near = 100 * both >= percent * (F.size("s") + F.size("t") - both)
         taken = stored(pairs.join(left, "key").join(right, "lead").filter(near).select("key", "lead"), "line-links")
         found = taken if found is None else found.unionByName(taken)
-        left_over = pending.filter("key != lead").join(taken, ["key", "lead"], "left_anti").select("bucket", "key")
-        again = left_over.groupBy("bucket").agg(F.min(F.col("key").bitwiseXOR(F.col("bucket"))).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        pending = stored(left_over.join(again.select("bucket", F.col("lead").bitwiseXOR(F.col("bucket")).alias("lead")), "bucket").select("bucket", "key", "lead"), "line-members")
+        # A bucket that hangs together has no link left that would matter; one smaller than the leaders is done.
+        parts = components(found, "key", "lead").withColumnRenamed("node", "key")
+        placed = pending.filter(F.col("n") > count).join(parts, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
+        pending = stored(placed.drop("root").join(apart, "bucket", "left_semi"), "line-members")
         if pending.isEmpty():
             return found.select(F.col("key").alias("a"), F.col("lead").alias("b"))
+        centre = centre.join(apart, "bucket", "left_semi")
+        count *= 4
 
 
 def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 12, span: int = 4, n_bands: int = 10, n_rows: int = 4,

@@ -38,9 +38,12 @@ def _shingle(units: Column, i: Column, width: int, span: int) -> Column:
 
 
 def shingle_set(line: Column, width: int, span: int) -> Column:
-    """The distinct shingles of a line, hashed to 64 bits."""
-    units = units_of(line)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(units)), lambda i: F.xxhash64(_shingle(units, i, width, span))))
+    """The distinct shingles of a line, hashed to 64 bits.
+
+    The units are an outer lambda's variable, so the line is split once and not per shingle.
+    """
+    one = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(u)), lambda i: F.xxhash64(_shingle(u, i, width, span))))
+    return F.transform(F.array(units_of(line)), one)[0]
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:

@@ -5,7 +5,7 @@ from accordant.operators import annotate as N
 from accordant.plans import jobs
 from accordant.sources.workspace import fresh_path
 from accordant.streaming import incremental
-from workload.jobs import hashing_annotator
+from workload.jobs import marker_annotator
 
 
 def flaky():
@@ -51,7 +51,7 @@ def test_variants(spark):
 def test_annotation_job(spark):
     texts = spark.createDataFrame([("one",), (" one ",), ("two",)], "text string")
     truth = spark.createDataFrame([("f97c5d29941bfb1b2fdab0874906ab82", 3)], "text_id string, ground_truth int")
-    out = jobs.annotation_job(texts, hashing_annotator(), ["m1", "m2"], categories=[0, 1, 2, 3], meanings={"0": "x"},
+    out = jobs.annotation_job(texts, marker_annotator(), ["m1", "m2"], categories=[0, 1, 2, 3], meanings={"0": "x"},
                               reps=2, truth=truth, order="text")
     rows = {r["text"].strip(): r for r in out.collect()}
     assert set(rows) == {"one", "two"} and rows["one"]["ground_truth"] == 3 and rows["two"]["ground_truth"] is None

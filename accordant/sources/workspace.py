@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -21,6 +23,15 @@ def is_named(spark: SparkSession) -> bool:
     return bool(spark.conf.get("spark.checkpoint.dir", None) or _NAMED)
 
 
+def ensure_named(spark: SparkSession) -> None:
+    """For entry points: name a folder where the session leaves it unset, as on a single machine.
+
+    The environment variable ACCORDANT_SHARED names it, or else it is a new temporary folder.
+    """
+    if not is_named(spark):
+        use_folder("file://" + (os.environ.get("ACCORDANT_SHARED") or tempfile.mkdtemp(prefix="accordant-")))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of this application's tables, below the one ``spark.checkpoint.dir`` names.
 

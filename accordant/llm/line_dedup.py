@@ -89,11 +89,13 @@ def links(lines: DataFrame, *, width: int, span: int, n_bands: int, n_rows: int,
     sets = stored(sets.select("key", shingle_set(F.col("line"), width, span).alias("set")), "line-sets")
     left, right = sets.withColumnRenamed("set", "s"), sets.select(F.col("key").alias("lead"), F.col("set").alias("t"))
     centre = pending.join(degree, "key").groupBy("bucket").agg(F.max_by("key", F.col("degree") * SLOTS + _slot("key")).alias("lead"))
-    centre = stored(centre, "line-centres")
+    pending = stored(pending.withColumn("root", F.col("key")).join(centre.withColumnRenamed("lead", "centre"), "bucket"), "line-members")
     found, count = None, leaders
     while True:
-        drawn = pending.filter(F.pmod(F.xxhash64("key", "bucket"), F.col("n")) < count).select("bucket", F.col("key").alias("lead"))
-        met = pending.join(drawn.unionByName(centre), "bucket").filter("key != lead")
+        drawn = pending.filter((F.pmod(F.xxhash64("key", "bucket"), F.col("n")) < count) | (F.col("key") == F.col("centre")))
+        drawn = drawn.select("bucket", F.col("key").alias("lead"), F.col("root").alias("lead_root"))
+        # Lines that hang together already need not meet again.
+        met = pending.join(drawn, "bucket").filter("key != lead and root != lead_root")
         pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
         both = F.size(F.array_intersect("s", "t"))
         near = 100 * both >= percent * (F.size("s") + F.size("t") - both)
@@ -101,12 +103,11 @@ def links(lines: DataFrame, *, width: int, span: int, n_bands: int, n_rows: int,
         found = taken if found is None else found.unionByName(taken)
         # A bucket that hangs together has no link left that would matter; one smaller than the leaders is done.
         parts = components(found, "key", "lead").withColumnRenamed("node", "key")
-        placed = pending.filter(F.col("n") > count).join(parts, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = pending.filter(F.col("n") > count).drop("root").join(parts, "key", "left").withColumn("root", F.coalesce("root", "key"))
         apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
-        pending = stored(placed.drop("root").join(apart, "bucket", "left_semi"), "line-members")
+        pending = stored(placed.join(apart, "bucket", "left_semi"), "line-members")
         if pending.isEmpty():
             return found.select(F.col("key").alias("a"), F.col("lead").alias("b"))
-        centre = centre.join(apart, "bucket", "left_semi")
         count *= 4
 
 

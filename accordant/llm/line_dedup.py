@@ -1,11 +1,10 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
-Every line is read as character shingles that begin at its units: the ``width`` characters from the
-start of each word (or of each character, in scripts written without spaces), over at most
-``units`` units.  MinHash values over the shingles are banded for high recall; lines that share a band
-bucket are compared with several leaders of the bucket by the exact Jaccard similarity of their
-sets.  Distributed union-find joins the links.  A bucket whose lines then hang together is done; any
-other one meets four times as many leaders, and so on until all hang together or all have met.
+Every line is read whole, as the shingles of ``width`` characters that begin at each of its characters.
+MinHash values over the shingles are banded for high recall; lines that share a band bucket are
+compared with the bucket's centre by the exact Jaccard similarity of their sets.  Distributed
+union-find joins the links.  A bucket whose lines then hang together is done; any other one meets
+several leaders, then four times as many, and so on until all hang together or all have met.
 One line of each component stays.
 
 Bounds: copies of a line are one row after the first, map-side combined, aggregate.  A bucket is
@@ -26,24 +25,31 @@ from accordant.sources.workspace import stored
 
 #: Slots of the broadcast filter: at most this many rows, whatever the input.
 SLOTS = 1 << 21
+#: Classes of shingles, and minima of each class.
+CLASSES, MINIMA = 4, 10
 
 
-def units_of(line: Column) -> Column:
-    """Words between single spaces; characters where most take three bytes (scripts without spaces)."""
-    return F.when(F.octet_length(line) >= 2 * F.char_length(line), F.split(line, "")).otherwise(F.split(line, " "))
+def signs_of(line: Column) -> Column:
+    """The line with four bytes to a character, so that any character is found without counting from the start."""
+    return F.encode(line, "UTF-32")
 
 
-def _shingle(units: Column, i: Column, width: int, span: int) -> Column:
-    return F.substring(F.array_join(F.slice(units, i, span), " "), 1, width)
+def _starts(signs: Column, width: int) -> Column:
+    """Where shingles begin, from 0; a line shorter than ``width`` is one shingle."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(signs), 2) - width))
 
 
-def shingle_set(line: Column, width: int, span: int) -> Column:
+def _shingle(signs: Column, i: Column, width: int) -> Column:
+    return F.substring(signs, 4 * i + 1, F.lit(4 * width))
+
+
+def shingle_set(line: Column, width: int) -> Column:
     """The distinct shingles of a line, hashed to 64 bits.
 
-    The units are an outer lambda's variable, so the line is split once and not per shingle.
+    The signs are an outer lambda's variable, so the line is encoded once and not per shingle.
     """
-    one = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(u)), lambda i: F.xxhash64(_shingle(u, i, width, span))))
-    return F.transform(F.array(units_of(line)), one)[0]
+    one = lambda u: F.array_distinct(F.transform(_starts(u, width), lambda i: F.xxhash64(_shingle(u, i, width))))
+    return F.transform(F.array(signs_of(line)), one)[0]
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -52,18 +58,40 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.filter(F.char_length("line") >= min_chars).select("doc", "line_no", F.xxhash64("line").alias("key"), "line")
 
 
-def bands(lines: DataFrame, *, width: int, span: int, bands: int, rows: int) -> DataFrame:
+def band_places(n_bands: int, n_rows: int) -> list[list[tuple[int, int]]]:
+    """The (class, minimum) pairs of each band: classes in turn, every minimum in two bands or so."""
+    rng, pools, out = random.Random(3), [[] for _ in range(CLASSES)], []
+    for b in range(n_bands):
+        band: list[tuple[int, int]] = []
+        for r in range(n_rows):
+            c = (b + r) % CLASSES
+            if not any((c, k) not in band for k in pools[c]):
+                pools[c] += rng.sample(range(MINIMA), MINIMA)
+            k = next(k for k in pools[c] if (c, k) not in band)
+            pools[c].remove(k)
+            band.append((c, k))
+        out.append(band)
+    return out
+
+
+def bands(lines: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
     """(key, bands): one hash per band of MinHash values of each distinct line.
 
     Shingles are unfolded inside generated code and the aggregate takes the minima as they come.
-    A further hash function is the first one XORed with a constant.
+    A shingle falls into one of ``CLASSES`` classes by its hash and counts for that class's minima
+    only, which saves most of the work; a band takes its values from different classes.  A further hash
+    function is the first one XORed with a constant, whose first bits differ within a class.
     """
     rng = random.Random(1)
-    masks = [rng.getrandbits(32) - (1 << 31) for _ in range(bands * rows)]
-    each = lines.select("key", units_of(F.col("line")).alias("u")).select("key", "u", F.explode(F.sequence(F.lit(1), F.size("u"))).alias("i"))
-    each = each.select("key", F.hash(_shingle(F.col("u"), F.col("i"), width, span)).alias("h"))
-    least = each.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
-    return least.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("bands"))
+    masks = [((k << 28) | rng.getrandbits(28)) - (1 << 31) for k in rng.sample(range(16), MINIMA)]
+    # Copies are combined first; what follows needs no further exchange.
+    once = lines.groupBy("key").agg(F.min("line").alias("line")).select("key", signs_of(F.col("line")).alias("u"))
+    each = once.select("key", "u", F.explode(_starts(F.col("u"), width)).alias("i")).select("key", F.hash(_shingle(F.col("u"), F.col("i"), width)).alias("h"))
+    least = each.groupBy("key", F.col("h").bitwiseAND(CLASSES - 1).alias("c")).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
+    places = band_places(bands, rows)
+    used = sorted({p for band in places for p in band})
+    whole = least.groupBy("key").agg(*[F.min(F.when(F.col("c") == c, F.col(f"m{k}"))).alias(f"m{c}_{k}") for c, k in used])
+    return whole.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"m{c}_{k}" for c, k in band]) for b, band in enumerate(places)]).alias("bands"))
 
 
 def _slot(key: str | Column) -> Column:
@@ -76,42 +104,44 @@ def only_near(df: DataFrame, keys: DataFrame, column: str = "key") -> DataFrame:
     return df.join(F.broadcast(slots), _slot(column) == F.col("slot"), "left_semi")
 
 
-def links(lines: DataFrame, *, width: int, span: int, n_bands: int, n_rows: int, percent: int, leaders: int = 8) -> DataFrame:
+def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: int, leaders: int = 4) -> DataFrame:
     """(a, b) keys of lines whose sets share at least ``percent`` percent of their union."""
-    signed = stored(bands(lines, width=width, span=span, bands=n_bands, rows=n_rows), "line-bands")
+    signed = stored(bands(lines, width=width, bands=n_bands, rows=n_rows), "line-bands")
     members = signed.select("key", F.explode("bands").alias("bucket"))
     shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-buckets")
     pending = stored(only_near(members, shared, "bucket").join(shared, "bucket").select("bucket", "key", "n"), "line-members")
     # A line that meets many others is the best centre of its buckets.
     degree = stored(pending.groupBy("key").agg(F.sum("n").alias("degree")), "line-degrees")
     wanted = degree.select("key")
-    sets = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
-    sets = stored(sets.select("key", shingle_set(F.col("line"), width, span).alias("set")), "line-sets")
-    left, right = sets.withColumnRenamed("set", "s"), sets.select(F.col("key").alias("lead"), F.col("set").alias("t"))
+    texts = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
+    texts = stored(texts.select("key", "line"), "line-texts")
+    # A line is far smaller than its set, so lines travel and sets are made where they meet.
+    left, right = texts, texts.select(F.col("key").alias("lead"), F.col("line").alias("other"))
     centre = pending.join(degree, "key").groupBy("bucket").agg(F.max_by("key", F.col("degree") * SLOTS + _slot("key")).alias("lead"))
     pending = stored(pending.withColumn("root", F.col("key")).join(centre.withColumnRenamed("lead", "centre"), "bucket"), "line-members")
-    found, count = None, leaders
+    found, count = None, 0
     while True:
         drawn = pending.filter((F.pmod(F.xxhash64("key", "bucket"), F.col("n")) < count) | (F.col("key") == F.col("centre")))
         drawn = drawn.select("bucket", F.col("key").alias("lead"), F.col("root").alias("lead_root"))
         # Lines that hang together already need not meet again.
         met = pending.join(drawn, "bucket").filter("key != lead and root != lead_root")
         pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
-        both = F.size(F.array_intersect("s", "t"))
-        near = 100 * both >= percent * (F.size("s") + F.size("t") - both)
-        taken = stored(pairs.join(left, "key").join(right, "lead").filter(near).select("key", "lead"), "line-links")
+        sets = pairs.join(left, "key").join(right, "lead").select("key", "lead", F.array(F.struct(shingle_set(F.col("line"), width).alias("s"), shingle_set(F.col("other"), width).alias("t"))).alias("sets"))
+        sizes = F.transform("sets", lambda x: F.struct(F.size(F.array_intersect(x["s"], x["t"])).alias("both"), (F.size(x["s"]) + F.size(x["t"])).alias("sum")))[0]
+        near = 100 * F.col("z.both") >= percent * (F.col("z.sum") - F.col("z.both"))
+        taken = stored(sets.select("key", "lead", sizes.alias("z")).filter(near).select("key", "lead"), "line-links")
         found = taken if found is None else found.unionByName(taken)
         # A bucket that hangs together has no link left that would matter; one smaller than the leaders is done.
         parts = components(found, "key", "lead").withColumnRenamed("node", "key")
-        placed = pending.filter(F.col("n") > count).drop("root").join(parts, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        placed = pending.filter(F.col("n") > max(count, 2)).drop("root").join(parts, "key", "left").withColumn("root", F.coalesce("root", "key"))
         apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
         pending = stored(placed.join(apart, "bucket", "left_semi"), "line-members")
         if pending.isEmpty():
             return found.select(F.col("key").alias("a"), F.col("lead").alias("b"))
-        count *= 4
+        count = max(leaders, 4 * count)
 
 
-def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 12, span: int = 4, n_bands: int = 10, n_rows: int = 4,
+def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 12, n_bands: int = 20, n_rows: int = 5,
            percent: int = 80, min_chars: int = 20) -> DataFrame:
     """One row per line of at least ``min_chars`` characters: doc (id, digest of the text), line_no from 0,
     ``component``, ``kept``.
@@ -122,7 +152,7 @@ def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     """
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("digest")).alias("doc"), whole_text(text_col).alias("text"))
     lines = line_rows(rows, min_chars)
-    parts = components(links(lines.select("key", "line"), width=width, span=span, n_bands=n_bands, n_rows=n_rows, percent=percent), "a", "b")
+    parts = components(links(lines.select("key", "line"), width=width, n_bands=n_bands, n_rows=n_rows, percent=percent), "a", "b")
     parts = stored(parts.select(F.col("node").alias("key"), "root"), "line-parts")
     placed = stored(lines.select("doc", "line_no", "key").join(parts, "key", "left").select("doc", "line_no", F.coalesce("root", "key").alias("component")), "line-places")
     where = [F.col("doc.id").alias("id"), F.col("doc.digest").alias("digest"), F.col("line_no")]

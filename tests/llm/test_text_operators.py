@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -203,6 +204,54 @@ def test_lines(spark):
     assert line_dedup.dedup(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def every_shingle(line, width):
+    return frozenset(line[i:i + width] for i in range(max(1, len(line) - width + 1)))
+
+
+def want_groups(lines, width, percent=80):
+    """Groups of lines by brute force over all pairs, every shingle of a line counted."""
+    sets, root = [every_shingle(ln, width) for ln in lines], list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    groups = collections.defaultdict(set)
+    for k in range(len(lines)):
+        groups[find(k)].add(k)
+    return {frozenset(g) for g in groups.values()}
+
+
+def got_groups(spark, lines, **options):
+    groups = collections.defaultdict(set)
+    for r in line_dedup.decide(docs(spark, lines), **options).collect():
+        groups[r.component].add(r.id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def unspaced(rng):
+    """Lines without spaces: URLs, rows of CSV and tabs, long tokens; of each last but one a copy with one sign changed."""
+    lines = [f"https://example.com/{''.join(rng.choices('abcdefghij/-', k=rng.randrange(10, 40)))}" for _ in range(12)]
+    lines += ["https://example.com/products/alpha", "https://example.com/about/contact-us", "2024-01-01,12.50,Berlin,paid", "2024-01-01,19.99,Paris,open",
+              "2024-01-01\t12.50\tBerlin\tpaid", "2024-01-01\t19.99\tParis\topen"]
+    lines += ["Order number: 1234567890123-" + "".join(rng.choices("ABCDEFGH0123", k=30)) for _ in range(4)]
+    tokens = ["data:image/png;base64," + "".join(rng.choices("ABCDEFGHabcdefgh0123+/", k=rng.randrange(150, 400))) for _ in range(8)]
+    return lines + tokens + [t[:60] + "#" + t[61:] for t in tokens[:4]]
+
+
+def test_lines_without_spaces_are_read_whole(spark):
+    lines = unspaced(random.Random(21))
+    width = inspect.signature(line_dedup.decide).parameters["width"].default
+    want = want_groups(lines, width)
+    assert got_groups(spark, lines) == want and sum(len(g) > 1 for g in want) == 4
+
+
 # --- secrets -------------------------------------------------------------------------------
 
 def naive_base(text):

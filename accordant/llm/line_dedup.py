@@ -141,7 +141,7 @@ def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: i
         count = max(leaders, 4 * count)
 
 
-def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 12, n_bands: int = 20, n_rows: int = 5,
+def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_bands: int = 20, n_rows: int = 5,
            percent: int = 80, min_chars: int = 20) -> DataFrame:
     """One row per line of at least ``min_chars`` characters: doc (id, digest of the text), line_no from 0,
     ``component``, ``kept``.

@@ -252,6 +252,17 @@ def test_lines_without_spaces_are_read_whole(spark):
     assert got_groups(spark, lines) == want and sum(len(g) > 1 for g in want) == 4
 
 
+def test_lines_with_one_character_changed_are_linked(spark):
+    rng, lines = random.Random(22), []
+    for _ in range(120):
+        line = " ".join(words(40, rng, 10**6))[:rng.randrange(60, 121)]
+        k = rng.randrange(len(line))
+        lines += [line, line[:k] + "#" + line[k + 1:]]
+    want = {g for g in want_groups(lines, 5) if len(g) > 1}
+    got = {g for g in got_groups(spark, lines) if len(g) > 1}
+    assert len(want) == 120 and got <= want and len(got) >= 0.98 * len(want)
+
+
 # --- secrets -------------------------------------------------------------------------------
 
 def naive_base(text):

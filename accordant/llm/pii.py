@@ -14,13 +14,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
 KINDS = ("email", "phone", "card", "ssn", "date", "ip")
+#: Telephone numbers: three, three and four digits; with a country code after + or 00; behind a trunk 0; nine digits in Spain.
+NORTH_AMERICAN = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+INTERNATIONAL = r"(?:\+|00(?=\d+[ ./-]))[1-9](?:[ ./-]?(?:\(\d{1,5}\)|\d)){4,14}"
+TRUNK = (r"(?!\d{3}-\d\d-\d{4}(?!\d))(?!\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})"
+         r"(?:0[1-9](?:[ .-]\d\d){4}|(?:\(0[1-9]\d{0,3}\) ?|0[1-9]\d{0,3}[ /-])\d{2,8}(?:[ -]\d{2,8}){0,3})(?![ /.-]?\d)")
+SPANISH = r"(?<!\d[ .,])(?:[6-9]\d\d \d{3} \d{3}|[6-9]\d\d \d\d \d\d \d\d|[89]\d \d{3} \d\d \d\d)(?![ .,]?\d)"
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: How each kind is written.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)+[A-Za-z]{2,}",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])",
+    "phone": rf"(?<![\w+])(?:{NORTH_AMERICAN}|{INTERNATIONAL}|{TRUNK}|{SPANISH})(?![\w-])",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ssn": r"(?<![\w.-])\d{3}-\d\d-\d{4}(?![\w-])",
-    "date": r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\w/-])",
+    "date": r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?=T\d|[^\w/-]|$)",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w.]*\w)",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
@@ -89,14 +96,27 @@ def _card(m: Column, key: str, back: bool) -> Column:
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
-    d = _digits(m)
-    lead = F.substring(d, F.lit(1), F.length(d) - 10)
+    """Country codes, the first two digits of other national numbers, lengths and separators stay.
+
+    A number of the North American plan is permuted among those whose area and exchange codes lie on the same side
+    of 200, any other one among all of its length.
+    """
+    abroad = m.rlike(r"^(?:\+|00)")
+    d = F.regexp_replace(_digits(m), F.when(m.startswith("00"), F.lit("^00")).otherwise(F.lit("^$")), F.lit(""))
+    length = F.when(abroad, F.length(F.regexp_extract(d, COUNTRY, 0))).otherwise(F.lit(2))
+    american = m.rlike(f"^(?:{NORTH_AMERICAN})$") | (abroad & d.startswith("1") & (F.length(d) == 11))
     t = F.substring(d, F.length(d) - 9, F.lit(10))
-    left = (_part(t, 1, 3) - 200) * 100 + _part(t, 9, 2)
-    right = (_part(t, 4, 3) - 200) * 100 + _part(t, 7, 2)
-    p = feistel(left, right, F.lit(80_000), F.lit(80_000), key, "phone", back)
-    made = F.concat(_padded(F.floor(p["l"] / 100) + 200, 3), _padded(F.floor(p["r"] / 100) + 200, 3), _padded(p["r"] % 100, 2), _padded(p["l"] % 100, 2))
-    return _written(m, F.concat(lead, made))
+    area, exchange = _part(t, 1, 3), _part(t, 4, 3)
+    low = lambda code: F.when(code < 200, F.lit(0)).otherwise(F.lit(200))
+    many = lambda code: F.when(code < 200, F.lit(20_000)).otherwise(F.lit(80_000))
+    p = feistel((area - low(area)) * 100 + _part(t, 9, 2), (exchange - low(exchange)) * 100 + _part(t, 7, 2), many(area), many(exchange), key, "phone", back)
+    made = F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _padded(F.floor(p["l"] / 100) + low(area), 3), _padded(F.floor(p["r"] / 100) + low(exchange), 3),
+                    _padded(p["r"] % 100, 2), _padded(p["l"] % 100, 2))
+    n = F.length(d) - length
+    half = F.floor(n / 2).cast("int")
+    q = feistel(_part(d, length + 1, n - half), _part(d, length + 1 + n - half, half), _power(n - half), _power(half), key, "phone", back)
+    other = F.concat(F.substring(d, F.lit(1), length), _padded(q["l"], n - half), _padded(q["r"], half))
+    return _written(m, F.concat(F.when(m.startswith("00"), F.lit("00")).otherwise(F.lit("")), F.when(american, made).otherwise(other)))
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
@@ -179,7 +199,7 @@ def kind_of(m: Column) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.try_cast("int"))
     n = F.datediff(_day(m), F.lit(FIRST_DAY).cast("date"))
     checked = {
-        "email": F.lit(True), "phone": F.lit(True), "card": _luhn(d) % 10 == 0,
+        "email": F.lit(True), "phone": F.length(F.regexp_replace(d, "^00", "")).between(7, 15), "card": _luhn(d) % 10 == 0,
         "ssn": ~F.substring(d, 1, 3).isin("000", "666") & (F.substring(d, 1, 1) != "9") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000"),
         "date": n.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1), "ip": F.forall(octets, lambda x: x <= 255),
     }

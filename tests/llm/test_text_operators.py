@@ -318,6 +318,25 @@ def test_pseudonyms(spark):
     assert other[0] != rows[0].text and pii.pseudonymise(df.limit(0), key="k").count() == 0
 
 
+def test_pseudonyms_of_other_telephones_and_timestamps(spark):
+    phones = ["+1 (017) 555-7713", "117-555-0123", "+44 20 7946 0018", "+49 30 12345678", "0049 30 12345678", "+33 1 23 45 67 89", "01 23 45 67 89", "030 12345678", "(0171) 123-4567",
+              "612 345 678", "91 123 45 67", "+34 612 34 56 78", "+351 21 123 4567"]
+    none = ["4111 1111 1111 1112", "0123 4567 8901 2345", "012-00-6789", "2023-02-29T10:00", "1 612 345 678", "+12", "12 34"]
+    texts = [f"at {x} now" for x in phones + none] + ["on 2024-05-01T10:00:00Z, 012-34-5678"]
+    out = pii.pseudonymise(docs(spark, texts), key="k")
+    rows = {r.doc_id: r for r in out.collect()}
+    n = len(phones)
+    for i, x in enumerate(phones):
+        assert [s.kind for s in rows[i].pii] == ["phone"] and x not in rows[i].text, x
+        assert re.sub(r"\d", "0", rows[i].text) == re.sub(r"\d", "0", texts[i])
+    assert all(rows[n + i].text == texts[n + i] for i in range(len(none)))
+    assert rows[3].text[4:].replace("at ", "") == rows[4].text[5:].replace("at ", "")  # +49 and 0049 are one number
+    last = rows[len(texts) - 1]
+    assert [s.kind for s in last.pii] == ["date", "ssn"] and "2024-05-01" not in last.text and "T10:00:00Z" in last.text
+    back = pii.pseudonymise(out.select("doc_id", "text"), key="k", back=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
 def test_pseudonyms_are_a_permutation(spark):
     days = spark.sql("SELECT id AS doc_id, date_format(date_add(DATE'1990-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS text FROM range(3000)")
     out = pii.pseudonymise(days, key="k")

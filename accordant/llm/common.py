@@ -73,9 +73,11 @@ def arrow_replace(df: DataFrame, column: str, fn: Callable[[list], list], rows:
     return df.mapInArrow(run, df.schema)
 
 
-def fit_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+def fit_sample(df: DataFrame, id_col: str, rows: int, *also: str) -> DataFrame:
     """About ``rows`` rows, chosen by the hash of their id, for fitting a classifier.
 
+    The columns ``also`` are hashed with the id, so that rows without an id, or with the same one, do not go together.
+
     A row is taken if its hash falls below rows / count, so every task keeps its share only and the
     sample stays spread over the tasks; a table of up to ``rows`` rows is taken whole.
     """
@@ -83,4 +85,4 @@ def fit_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     if share >= 1:
         return df
     steps = 1 << 40
-    return df.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(steps)) < int(share * steps))
+    return df.filter(F.pmod(F.xxhash64(id_col, *also), F.lit(steps)) < int(share * steps))

@@ -61,16 +61,15 @@ def transitions(runs: list[str]) -> np.ndarray:
     return np.bincount(pair[codes[1:] > 0], minlength=n * n).reshape(n, n).astype(float)
 
 
-def ratio_table(secret_runs: list[str], plain_runs: list[str], smoothing: float = 0.5) -> np.ndarray:
-    """Log of (random / ordinary) per transition, each model smoothed towards its own symbol rates."""
+def ratio_table(secret: np.ndarray, plain: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
+    """Log of (random / ordinary) per transition from their counts, each model smoothed towards its own symbol rates."""
 
-    def model(runs: list[str]) -> np.ndarray:
-        count = transitions(runs)
+    def model(count: np.ndarray) -> np.ndarray:
         rate = (count.sum(axis=0) + smoothing) / (count.sum() + smoothing * count.shape[1])
         weight = smoothing * count.shape[1]
         return np.log((count + weight * rate) / (count.sum(axis=1, keepdims=True) + weight))
 
-    return model(secret_runs) - model(plain_runs)
+    return model(secret) - model(plain)
 
 
 def samples_of(text: str) -> tuple[list[str], list[str]]:
@@ -92,18 +91,28 @@ def drawn_runs(count: int, seed: int = 7) -> list[str]:
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2_000, max_chars: int = 20_000,
           drawn: int = 2_000) -> np.ndarray:
-    """Fit both models on a bounded sample: the ``max_rows`` rows of smallest id hash.
+    """Fit both models on a bounded sample: about ``max_rows`` rows by the hash of id and text.
 
     The labels of the sample are the base patterns.  The bounds keep the sample below 40 million
-    characters at any input size and apply to fitting only; every text is scanned whole.
+    characters at any input size and apply to fitting only; every text is scanned whole.  Transitions
+    are counted in the tasks; the driver gets their sums.
     """
-    sample = fit_sample(docs.select(id_col, F.substring(whole_text(text_col), 1, max_chars).alias("t")), id_col, max_rows)
-    secret, plain = drawn_runs(drawn), []
-    for row in sample.select("t").collect():
-        s, p = samples_of(row.t)
-        secret += s
-        plain += p
-    return ratio_table(secret, plain)
+    sample = fit_sample(docs.select(id_col, F.substring(whole_text(text_col), 1, max_chars).alias("t")), id_col, max_rows, "t")
+    size = len(SYMBOLS) + 1
+
+    def counted(columns: dict[str, list]) -> dict[str, list]:
+        both = np.zeros((2, size, size))
+        for text in columns["t"]:
+            for k, runs in enumerate(samples_of(text)):
+                both[k] += transitions(runs)
+        at = np.flatnonzero(both)
+        return {"place": at.tolist(), "n": both.ravel()[at].astype(int).tolist()}
+
+    sums = np.zeros(2 * size * size)
+    for row in arrow_map(sample.select("t"), counted, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        sums[row.place] = row.n
+    secret, plain = sums.reshape(2, size, size)
+    return ratio_table(secret + transitions(drawn_runs(drawn)), plain)
 
 
 def markov_spans(text: str, table: np.ndarray, taken: list[tuple[int, int, str]], per_char: float = 0.75, least: float = 20.0) -> list[tuple[int, int, str]]:

@@ -293,6 +293,18 @@ def test_secret_scan(spark):
     assert secrets.scan(docs(spark, TEXTS).limit(0), secrets.train(docs(spark, TEXTS).limit(0))).count() == 0
 
 
+def test_secret_fit_is_bounded_without_ids(spark):
+    df = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word text number "), F.col("id").cast("string")).alias("t"))
+    assert 400 < fit_sample(df, "doc_id", 500, "t").count() < 600
+    texts = ["password = Zx9Qw7Er5Ty3Ui1Op4As6Df8 and plain words here", "api_key: qZ8xW3vB7nM1kL5jH9gF4dS2 other ordinary text"]
+    secret, plain = secrets.drawn_runs(2_000), []
+    for t in texts:
+        s, p = secrets.samples_of(t)
+        secret, plain = secret + s, plain + p
+    want = secrets.ratio_table(secrets.transitions(secret), secrets.transitions(plain))
+    assert np.allclose(secrets.train(docs(spark, texts)), want)
+
+
 # --- personal data -------------------------------------------------------------------------
 
 PRIVATE = ["call +1 (988) 555-2485 or 212-555-0123.", "4111 1111 1111 1111 is 4111111111111111, not 4111111111111112", "ssn 123-45-6789 666-45-6789",

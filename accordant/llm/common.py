@@ -86,3 +86,19 @@ def fit_sample(df: DataFrame, id_col: str, rows: int, *also: str) -> DataFrame:
         return df
     steps = 1 << 40
     return df.filter(F.pmod(F.xxhash64(id_col, *also), F.lit(steps)) < int(share * steps))
+
+
+def finite(vector: str) -> Column:
+    """Neither null nor holding a null or non-finite component."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def floored(vector: str, scale: int) -> Column:
+    """Each component as the integer floor(scale * x), x as double."""
+    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+
+
+def of_one_length(vectors: DataFrame, vector_col: str) -> DataFrame:
+    """The rows whose vector has the commonest length, of several the shortest."""
+    first = vectors.groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return vectors.filter(F.size(vector_col) == (first.n if first else 0))

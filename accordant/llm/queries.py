@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from accordant.llm import ann, bpe, exact_dedup, frames, line_dedup, near_dedup, packing, pii, secrets, toxicity
-from accordant.llm.common import table
+from accordant.llm import ann, bpe, exact_dedup, frames, hard_negatives, line_dedup, near_dedup, packing, pii, secrets, toxicity, vector_codes
+from accordant.llm.common import finite, floored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,56 @@ def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ann.fit(vectors, id_col="vec_id", vector_col="embedding")
     out = ann.search(vectors, vectors.filter("vec_id % 20 = 0"), model, id_col="vec_id", vector_col="embedding", k=20)
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull() & finite("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), floored("embedding", 256).alias("v"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+#: Components that are null, NaN or infinite, as DuckDB sees them.
+_BROKEN = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0"
+
+SQL["op12_hard_negatives"] = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT {_BROKEN}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query
+def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round in statements of its own: distances of all parts to all entries, the nearest, floored means."""
+    ctes = [f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND NOT {_BROKEN})""",
+            f"""x AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS u FROM kept, range({parts}) r(p))""",
+            f"""c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, u AS c FROM x
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries})"""]
+    nearest = """(SELECT vec_id, label, p, u, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT vec_id, label, x.p, u, k,
+    list_sum(list_transform(list_zip(u, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN c{0} ON x.p = c{0}.p) GROUP BY vec_id, label, p, u)"""
+    for r in range(rounds):
+        ctes.append(f"""m{r} AS MATERIALIZED (SELECT p, k, list(floor_mean ORDER BY i) AS c FROM (SELECT p, k, i,
+    CASE WHEN sum(u[i]) % count(*) < 0 THEN sum(u[i]) // count(*) - 1 ELSE sum(u[i]) // count(*) END::BIGINT AS floor_mean
+    FROM {nearest.format(r)}, (SELECT unnest(range(1, max(len(u)) + 1)) AS i FROM x) GROUP BY p, k, i) GROUP BY p, k)""")
+        ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.p, c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.p = m{r}.p AND c{r}.k = m{r}.k)")
+    ctes.append(f"f AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM {nearest.format(rounds)} GROUP BY vec_id, label)")
+    ctes.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds})")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM f, h"
+
+
+SQL["op13_orchard_codes"] = _codes_sql()

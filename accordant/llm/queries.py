@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from accordant.llm import ann, bpe, exact_dedup, frames, hard_negatives, line_dedup, near_dedup, packing, pii, secrets, toxicity, vector_codes
+from accordant.llm import ann, bpe, exact_dedup, frames, hard_negatives, line_dedup, near_dedup, ngram_join, packing, pii, secrets, toxicity, vector_codes
 from accordant.llm.common import finite, floored, table
 
 QUERIES: dict = {}
@@ -98,6 +98,30 @@ def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
+def _components_sql(percent: int, kept: str = "") -> str:
+    """Shingle sets, links by counted intersections, and the least id reachable over them."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS MATERIALIZED (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM b JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= {percent} * (x.n + y.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id{kept} FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
+"""
+
+
+SQL["op11_ngram_join"] = _components_sql(90)
+SQL["op9_near_dedup"] = _components_sql(85, ", min(other) = doc_id AS kept")
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull() & finite("embedding"))

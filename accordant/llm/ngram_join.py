@@ -203,14 +203,16 @@ def lookups(rows: DataFrame, neighbours: DataFrame | None) -> DataFrame:
 
 def shared_lists(found: DataFrame) -> DataFrame:
     """(handle, list, lead): who meets in the lists that remain after allocation; ``lead`` is the least handle of a list."""
-    facts = found.groupBy("list").agg(F.min("handle").alias("lead"), F.max("handle").alias("most"), F.count(F.lit(1)).alias("length"),
-                                      F.max(F.col("side").isin(0, 3)).alias("indexed")).filter("lead != most and indexed")
-    facts = stored(facts.select("list", "lead", "length"), "lists")
+    facts = found.groupBy("list").agg(F.min("handle").alias("lead"), F.max("handle").alias("most")).filter("lead != most")
+    # Lists of one set alone are most of them; those that are shared are the narrow side, and hashing them spares a sort of all.
+    facts = stored(facts.select("list", "lead"), "lists").hint("shuffle_hash")
     # Copies are one handle; should two sets share one, the more careful allocation holds.
-    hits = found.join(facts, "list").groupBy("list", "handle", "side").agg(F.min("free").alias("free"), F.max("length").alias("length"), F.min("lead").alias("lead"))
+    hits = found.join(facts, "list").groupBy("list", "handle", "side").agg(F.min("free").alias("free"), F.min("lead").alias("lead"))
     hits = stored(hits, "hits")
+    lengths = hits.groupBy("list", F.xxhash64("list").alias("spread")).agg(F.count(F.lit(1)).alias("length"), F.max(F.col("side").isin(0, 3)).alias("indexed"))
+    known = hits.filter("side < 3").join(lengths.filter("indexed").select("list", "length"), "list")
     dearest = Window.partitionBy("handle", "side").orderBy(F.desc("length"), "list")
-    taken = hits.filter("side < 3").withColumn("place", F.row_number().over(dearest)).filter("place > free")
+    taken = known.withColumn("place", F.row_number().over(dearest)).filter("place > free")
     taken = stored(taken.groupBy("list", F.xxhash64("list").alias("spread")).agg(F.lit(1).alias("taken")).select("list"), "taken-lists")
     return stored(hits.join(taken, "list").select("handle", "list", "lead").distinct(), "meetings")
 

@@ -13,12 +13,11 @@ from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from accordant.functions import responses, text as T
 from accordant.operators.consensus import repetition_consensus
-from accordant.sources.workspace import stored
+from accordant.sources.keyed import KeyedTable
 
 Annotator = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -104,27 +103,24 @@ def call(reqs: DataFrame, annotator: Annotator, parallelism: int | None = None,
     return spread.mapInPandas(run, f"cache_key string, {RESPONSE}")
 
 
-def _stored_calls(spark: SparkSession, path: str) -> DataFrame:
-    shape = f"cache_key string, {RESPONSE}, written_at timestamp"
-    try:
-        return spark.read.schema(shape).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], shape)
+def response_store(spark: SparkSession, path: str, **layout: Any) -> KeyedTable:
+    """The stored responses below ``path``, by cache key."""
+    return KeyedTable(spark, path, "cache_key", f"cache_key string, {RESPONSE}", live="error IS NULL", **layout)
+
+
+def failure_log(spark: SparkSession, path: str) -> KeyedTable:
+    """Every failed call, beside the store; a key may fail several times."""
+    return KeyedTable(spark, f"{path}-errors", "cache_key", "cache_key string, error string, failed_at timestamp")
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """One response per key: jobs that called the same key at the same time left several, and the
-    first one written counts."""
-    kept = [c.split()[0] for c in ("content", "thinking", "logprobs", "elapsed_sec", "error")]
-    first = F.min_by(F.struct(*kept), F.struct("written_at", "content")).alias("r")
-    return _stored_calls(spark, path).groupBy("cache_key").agg(first).select("cache_key", "r.*")
+    """One response per key, the first one written."""
+    return response_store(spark, path).first_rows()
 
 
 def failed_calls(spark: SparkSession, path: str) -> DataFrame:
     """Every failed call beside the cache, with its error text and time."""
-    return _stored_calls(spark, f"{path}-errors").select("cache_key", "error", "written_at")
+    return failure_log(spark, path).rows().select("cache_key", "error", F.col("failed_at").alias("written_at"))
 
 
 def cache_statistics(reqs: DataFrame, cache: str) -> DataFrame:
@@ -139,21 +135,29 @@ def cache_statistics(reqs: DataFrame, cache: str) -> DataFrame:
 
 def call_with_cache(reqs: DataFrame, annotator: Annotator, cache: str,
                     parallelism: int | None = None) -> DataFrame:
-    """Every request with its response; only keys absent from the cache table are called.
+    """Every request with its response; only keys absent from the store are called.
 
-    Copies of a text share one key and one call.  New responses are written once, then appended
-    to the cache table, failures to the table beside it; a request whose call failed now
-    returns with its error.
+    Copies of a text share one key and one call.  Of the store only the key prefixes that the requests hold are
+    read, and only their keys.  New responses are written once, as the store's next part; failures are no answers, go
+    to the log beside it too, and a request whose call failed now returns with its error.
     """
     spark = reqs.sparkSession
+    store = response_store(spark, cache)
+    seen = store.version()
     once = reqs.groupBy("cache_key").agg(*[
         F.any_value(c).alias(c) for c in ("annotator", "rep", "params", "prompt")])
-    misses = once.join(read_cache(spark, cache).select("cache_key"), "cache_key", "left_anti")
-    called = stored(call(misses, annotator, parallelism).withColumn("written_at", F.current_timestamp()), "calls")
-    called.filter(F.col("error").isNull()).write.mode("append").parquet(cache)
-    failed = called.filter(F.col("error").isNotNull())
-    failed.write.mode("append").parquet(f"{cache}-errors")
-    return reqs.join(read_cache(spark, cache).unionByName(failed.drop("written_at")), "cache_key", "left")
+    if seen.parts:
+        prefixes = store.wanted_prefixes(reqs)
+        misses = once.join(store.rows(seen, prefixes).select("cache_key"), "cache_key", "left_anti")
+    else:
+        prefixes, misses = None, once
+    part = store.write(call(misses, annotator, parallelism))
+    failed = store.part(part).filter("error IS NOT NULL")
+    if not failed.isEmpty():
+        log = failure_log(spark, cache)
+        log.append(log.write(failed.select("cache_key", "error", F.col("written_at").alias("failed_at"))), log.version())
+    answers = store.first_rows(store.append(part, seen), prefixes)
+    return reqs.join(answers.unionByName(failed.drop("written_at")), "cache_key", "left")
 
 
 def parse(responses_df: DataFrame, categories: Sequence[int]) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from accordant.functions import prompts, text as T
 from accordant.operators import agreement, align, annotate, consensus, dedup, labels, quality, reshape, selection, training
-from accordant.operators.joins import distinct_keys
 from accordant.sources import artefacts
+from accordant.sources.versions import built, digest
 from accordant.sources.workspace import fresh_path
 
 
@@ -86,21 +86,29 @@ def consensus_job(annotations: DataFrame, *, dataset: str, order: str, threshold
 def selection_job(consensus_table: DataFrame, output: str, *, force: bool = False, **options: Any) -> DataFrame:
     """Select instances, store rows and report, return the stored rows.
 
-    A selection that is already stored is reused, restricted to the texts of the current table.
+    The stored selection is reused as long as the rows of the table and the options are those it was made from.
+    Anything else selects anew: whether a text is redundant or noise depends on all the others.  Rows and report are
+    committed together.
     """
-    spark = consensus_table.sparkSession
-    key = options.get("identity", "text_id")
-    if force or not artefacts.exists(spark, f"{output}/rows"):
-        rows, report = selection.filter_annotations(consensus_table, **options)
-        artefacts.write_selection(rows, report, output)
-    return spark.read.parquet(f"{output}/rows").join(distinct_keys(consensus_table, key), key, "left_semi")
+    reports: list[DataFrame] = []
+
+    def rows() -> DataFrame:
+        selected, report = selection.filter_annotations(consensus_table, **options)
+        reports.append(report)
+        return selected
+
+    return built(consensus_table.sparkSession, output, rows, made_from={"rows": digest(consensus_table), "options": options}, force=force,
+                 partition_by=["selection"], with_it=lambda folder: reports[-1].write.json(f"{folder}/report"))
 
 
 def perspectives_job(spark: SparkSession, annotations: DataFrame, path: str, *,
-                     meanings: Mapping[str, str] | None = None, force: bool = False) -> DataFrame:
-    """The one-row-per-annotator dataset, reused when it is already stored."""
-    return artefacts.load_or_build(
-        spark, path, lambda: reshape.perspectives(annotations, meanings=meanings), force)
+                     meanings: Mapping[str, str] | None = None, force: bool = False, track: bool = False) -> DataFrame:
+    """The one-row-per-annotator dataset, reused when it is already stored.
+
+    With ``track`` it is reused only while annotations and meanings are those it was made from.
+    """
+    made_from = {"rows": digest(annotations), "meanings": dict(meanings) if meanings else None} if track else None
+    return artefacts.load_or_build(spark, path, lambda: reshape.perspectives(annotations, meanings=meanings), force, made_from)
 
 
 def training_job(folds: DataFrame, annotated: DataFrame, *, per_annotator: bool = False) -> DataFrame:

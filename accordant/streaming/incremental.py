@@ -4,40 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from accordant.operators.align import remaining_texts
 from accordant.operators.dedup import keep_first
+from accordant.sources.keyed import KeyedTable
+
+
+def done_keys(spark: SparkSession, sink: str, key: str = "text_id", **layout) -> KeyedTable:
+    """The keys that are annotated in ``sink``, with the batch that did it; merged once there are many parts."""
+    return KeyedTable(spark, f"{sink}-keys", key, f"`{key}` string, batch_id bigint", **layout)
 
 
 def annotate_stream(texts: DataFrame, annotate: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
-                    key: str = "text_id", order: str = "text_id") -> DataStreamWriter:
+                    key: str = "text_id", order: str = "text_id", **layout) -> DataStreamWriter:
     """A writer that annotates texts not yet in the sink, batch by batch.
 
-    Copies inside a batch are reduced to the first, texts stored by earlier batches are left
-    out by an anti join.  The join reads a narrow table of done keys beside the sink, laid out by
-    key prefix, and of it only the prefixes that the batch holds.  Each batch writes its own
-    ``batch_id`` partition with overwrite, so a batch repeated after a failure replaces its rows
-    instead of adding to them.
+    Copies inside a batch are reduced to the first, texts stored by earlier batches are left out by an anti join with
+    the table of done keys, of which only the prefixes that the batch holds are read.  Each batch writes its own
+    ``batch_id`` partition with overwrite, so a batch repeated after a failure replaces its rows instead of adding to
+    them: its own keys, if they were committed already, do not count as done.
     """
-    prefix = F.substring(F.md5(F.col(key).cast("string")), 1, 2)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        table = done_keys(spark, sink, key, **layout)
+        seen = table.version()
         fresh = keep_first(batch, key, order)
-        try:
-            here = [r[0] for r in batch.select(prefix.alias("p")).distinct().collect()]  # 256 at most
-            done = spark.read.option("recursiveFileLookup", "false").parquet(f"{sink}-keys").filter(
-                F.col("prefix").isin(here) & (F.col("batch_id") != F.lit(batch_id))).select(key)
+        if seen.parts:
+            done = table.rows(seen, table.wanted_prefixes(batch)).filter(F.col("batch_id") != batch_id).select(key)
             fresh = remaining_texts(fresh, done, key)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         annotate(fresh).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        keys = spark.read.parquet(f"{sink}/batch_id={batch_id}").select(key).distinct()
-        keys.withColumn("prefix", prefix).write.mode("overwrite").partitionBy("prefix").parquet(f"{sink}-keys/batch_id={batch_id}")
+        keys = spark.read.parquet(f"{sink}/batch_id={batch_id}").select(F.col(key).cast("string").alias(key)).distinct()
+        keys = keys.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        if seen.facts.get("batch_id", -1) < batch_id:
+            table.append(table.write(keys), seen, batch_id=batch_id)
+            return
+        # A repeated batch, or a lost checkpoint: what this batch holds now takes the place of what it held.
+        others = table.rows(seen).filter(F.col("batch_id") != batch_id).select(key, "batch_id")
+        table.replace(others.unionByName(keys), seen)
 
     return texts.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
 

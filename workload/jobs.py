@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from accordant.functions import text as T
 from accordant.operators import align as J, annotate as N, consensus as C, training as TR
 from accordant.plans import jobs
+from accordant.sources.versions import Version
 from accordant.sources.workspace import fresh_path, stored
 from accordant.streaming import incremental
 from workload.agreement import r9
@@ -85,8 +86,9 @@ def cached_calls(spark, sf_dir):
     cache = fresh_path(spark, "responses")
     N.call_with_cache(N.requests(docs, MODELS, 2, keep=("doc_id",)), marker_annotator(), cache)
     both = N.call_with_cache(N.requests(docs, MODELS, 3, keep=("doc_id",)), marker_annotator(), cache)
-    # A job that wrote the same keys at the same time: the cache still answers each key once.
-    spark.read.parquet(cache).limit(50).write.mode("append").parquet(cache)
+    # A job that chose the same keys at the same time: the cache still answers each key once.
+    store = N.response_store(spark, cache)
+    store.append(store.write(store.rows().limit(50)), Version())
     again = N.call_with_cache(N.requests(docs, MODELS, 3, keep=("doc_id",)), marker_annotator(), cache)
     stored_calls = N.read_cache(spark, cache).agg(F.count(F.lit(1)))
     both = both.unionByName(again).groupBy("cache_key", "doc_id", "rep", "annotator").agg(F.max("content").alias("content"), F.count(F.lit(1)).alias("n")).filter("n = 2")

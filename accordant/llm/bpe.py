@@ -84,7 +84,10 @@ def encode(docs: DataFrame, *, vocabulary: str = "byte_bpe_multi_50k.tiktoken",
 
     short = arrow_map(rows.filter(~is_long), plain, f"id {kind}, ids binary", rows=64)
 
-    keyed = rows.filter(is_long).withColumn("key", F.unhex(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "text"), 256)))
+    # Id and text behind the id's length, so that no two rows share a key; -1 marks a missing id.
+    name = F.col("id").cast("string")
+    named = F.concat(F.coalesce(F.length(name), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(name, F.lit("")), "text")
+    keyed = rows.filter(is_long).withColumn("key", F.unhex(F.sha2(named, 256)))
     chunks = chunks_of(keyed, chunk, overlap)
     known = stored(stitches(chunks, byte_level(vocabulary).pattern, chunk, overlap), "stitches")
     cut = F.substring(F.col("part"), F.col("a") + 1, F.coalesce(F.col("b") - F.col("a"), F.char_length("part")))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from accordant.llm.common import ascii_lower, whole_text
 from accordant.llm.fuse import build, probe
+from accordant.operators.joins import distinct_keys
 from accordant.sources.workspace import stored
 
 FILTER = "bucket int, seed int, length int, segments int, prints binary"
@@ -61,7 +62,9 @@ def duplicates(docs: DataFrame, in_snapshot: Column, *, id_col: str = "doc_id",
     ``in_snapshot`` tells the two apart (null: batch).  Texts are equal if they are the same bytes
     after ``normalise``; a null text is an empty one.  Of a group the largest id stays.  Returns one
     row per input row: id, ``digest``, ``keep_id``, ``group_size``, ``kept``.  Repeated ids are repeated
-    rows: each counts, and each is marked.  Other columns of ``docs`` are ignored.
+    rows: each counts, and each is marked.  Rows without an id count too and give way to rows with one; of a
+    group without any id ``keep_id`` is null and all rows are kept, as they cannot be told apart.  Other columns of
+    ``docs`` are ignored.
     """
     base = docs.select(F.col(id_col).alias("__id"), normalise(whole_text(text_col)).alias("__text"), F.coalesce(in_snapshot, F.lit(False)).alias("__old"))
     rows = stored(base.select("__id", digest(F.col("__text")).alias("digest"), "__old"), "digests")
@@ -73,10 +76,11 @@ def duplicates(docs: DataFrame, in_snapshot: Column, *, id_col: str = "doc_id",
     maybe = screen(new, build_filters(old))
     across = maybe.select("digest").join(old.select("digest"), "digest", "left_semi")
     within = groups.filter("n > 1").select("digest")
-    partnered = across.unionByName(within).distinct()
+    partnered = distinct_keys(across.unionByName(within), "digest")
     members = rows.join(partnered, "digest", "left_semi").select("__id", "digest")
     # Byte check: the whole text is part of the key, so equal digests of unlike texts stay apart.
-    texts = base.select("__id", "__text").join(members.groupBy("__id").agg(F.first("digest").alias("digest")), "__id")
+    asked = distinct_keys(members, "__id").withColumnRenamed("__id", "__asked")
+    texts = base.select("__id", "__text").join(asked, F.col("__id").eqNullSafe(F.col("__asked")), "left_semi")
     # A repeated id may carry several texts, so the digest is taken from the text itself.
     texts = texts.select("__id", "__text", digest(F.col("__text")).alias("digest"))
     exact = texts.groupBy("digest", "__text").agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -89,5 +93,6 @@ def duplicates(docs: DataFrame, in_snapshot: Column, *, id_col: str = "doc_id",
         plain = rows.join(shared, "digest", "left_anti").select("__id", "digest").join(single, "digest", "left")
         apart = texts.join(exact.join(shared, "digest", "left_semi"), ["digest", "__text"]).select("__id", "digest", "keep_id", "group_size")
         out = plain.unionByName(apart)
-    keep = F.coalesce("keep_id", "__id")
-    return out.select(F.col("__id").alias(id_col), "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (keep == F.col("__id")).alias("kept"))
+    # Rows without a partner have no group here; a group without any id has no id to keep.
+    keep = F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
+    return out.select(F.col("__id").alias(id_col), "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("__id")).alias("kept"))

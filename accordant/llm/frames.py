@@ -109,6 +109,10 @@ class Reader:
                 yield row, int(self.ids[row]), int(starts[row]), raw[a : a + 4 * int(self.lengths[row])]
 
 
+#: Stands for a missing id in the files.
+NO_ID = -(1 << 63)
+
+
 def open_file(path: str):
     system, name = fs.FileSystem.from_uri(path)
     return system.open_input_file(name), system.get_file_info(name).size
@@ -120,12 +124,12 @@ def write(docs: DataFrame, *, vocabulary: str = "word_bpe_49k.json", end_id: int
 
     Returns the manifest: (path, documents, tokens, start), ``start`` being the number of ids in all files
     before.  Files hold ranges of ids; rows of one id are ordered by a hash of their text, so
-    that even one id on a third of all rows is spread.  Null ids come first and are written as the least
-    long; null texts are empty.  An empty table gives an empty manifest.
+    that even one id on a third of all rows is spread.  Null ids come first: the files hold the least long
+    for them, which is no id otherwise, and ``read`` gives null; null texts are empty.  An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-frames")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), whole_text(text_col).alias("text"))
     files = max(1, -(-rows.count() // rows_per_file))
     tie = F.xxhash64("text")
     ordered = rows.withColumn("tie", tie).repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie")
@@ -169,7 +173,7 @@ def read(manifest: DataFrame, wanted: Iterable[int] | None = None, *, with_ids:
                 with source:
                     out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
                     for _, doc_id, place, ids in Reader(source, size).read(only):
-                        for name, v in zip(out, (doc_id, start + place, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None)):
+                        for name, v in zip(out, (None if doc_id == NO_ID else doc_id, start + place, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None)):
                             out[name].append(v)
                         if len(out["ids"]) >= 256:
                             yield pa.RecordBatch.from_pydict(out, schema=schema)

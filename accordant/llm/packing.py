@@ -128,15 +128,23 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, capacity) for s in range(head, n, capacity))]
 
 
-def pieces(docs: DataFrame, *, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0,
+#: Fixed value: the added token of the 50k byte-level vocabulary, which its rank file does not hold.
+ADDED = {"<|endoftext|>": 50256}
+
+
+def pieces(docs: DataFrame, *, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.tiktoken", added: dict[str, int] = ADDED, end_id: int = 0,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every document, its end id included."""
+    """(id, piece, start, length, ids_crc32) of every document, its end id included.
+
+    Strings of ``added`` in a text are their ids, as in the tokenizers library.  Rows without an id and repeated ids
+    are each cut.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def one(columns: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
         for i, text in zip(columns["id"], columns["text"]):
-            ids = packed([*byte_level(vocabulary).encode(text), end_id])
+            ids = packed([*byte_level(vocabulary).encode_with(text, added), end_id])
             for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                 for name, v in zip(out, (i, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
                     out[name].append(v)

@@ -49,6 +49,15 @@ class ByteLevel:
     def encode(self, text: str) -> list[int]:
         return (self.full if _DOUBLE_SPACE.search(text) else self.lean).encode_ordinary(text)
 
+    def encode_with(self, text: str, added: dict[str, int]) -> list[int]:
+        """As ``encode``, but each string of ``added`` in a text is its id; what lies between is encoded by itself."""
+        if not any(a in text for a in added):
+            return self.encode(text)
+        out: list[int] = []
+        for part in re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text):
+            out += [added[part]] if part in added else self.encode(part)
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         """The raw bytes of the ids, one after the other."""
         return b"".join(map(self.raw.__getitem__, ids))
@@ -99,7 +108,7 @@ class WordLevel:
     """The lower-cased vocabulary with word ends, as the tokenizers library encodes it.
 
     Latin text is cut at spaces, into words by the vocabulary's pattern, and each word is merged by
-    the library's model; any other text goes to the library whole.
+    the library's model; any other text, and one that holds an added token, goes to the library whole.
     """
 
     def __init__(self, path: str, parts: int = 100_000, words: int = 400_000):
@@ -107,7 +116,7 @@ class WordLevel:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.model = self.tokenizer.model
         self.words = _Kept(self._word, words)
         self.parts = _Kept(self._part, parts)
@@ -121,7 +130,7 @@ class WordLevel:
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
-        if _BEYOND_LATIN.search(text):
+        if _BEYOND_LATIN.search(text) or self.added.search(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.parts.__getitem__, text.split(" ")))
 

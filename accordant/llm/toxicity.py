@@ -67,6 +67,21 @@ def token_counts(labelled: DataFrame, *, bits: int = 20) -> DataFrame:
     return rows.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def dense_counts(counts: DataFrame, bits: int) -> np.ndarray:
+    """(2, slots) array of clean and toxic counts: the tasks pack their rows, so the driver gets bytes, 12 a slot."""
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            packed = [batch.column(c).to_numpy().astype(kind).tobytes() for c, kind in (("slot", "<u4"), ("clean", "<f4"), ("toxic", "<f4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.binary()) for p in packed], names=["slot", "clean", "toxic"])
+
+    out = np.zeros((2, 1 << bits), dtype=np.float32)
+    for r in counts.mapInArrow(pack, "slot binary, clean binary, toxic binary").collect():
+        slot = np.frombuffer(r["slot"], dtype="<u4")
+        out[0, slot], out[1, slot] = np.frombuffer(r["clean"], dtype="<f4"), np.frombuffer(r["toxic"], dtype="<f4")
+    return out
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), left to right, in linear time.
 
@@ -112,12 +127,11 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.array([-4.0, 1.0, 0.0, 0.0]))
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def slot_scores(self, slots: np.ndarray) -> np.ndarray:
-        """Smoothed log-odds less the drift, of (word, stem) slots."""
-        clean, toxic = self.counts[0], self.counts[1]
-        w, s = slots[:, 0], slots[:, 1]
-        stem = (toxic[s] + self.prior * self.base) / (toxic[s] + clean[s] + self.prior)
-        p = (toxic[w] + self.prior * stem) / (toxic[w] + clean[w] + self.prior)
+    def slot_scores(self, slots: np.ndarray, clean_less: np.ndarray | int = 0, toxic_less: np.ndarray | int = 0) -> np.ndarray:
+        """Smoothed log-odds less the drift, of (word, stem) slots; the ``less`` are taken from their counts first."""
+        clean, toxic = self.counts[0][slots] - clean_less, self.counts[1][slots] - toxic_less
+        stem = (toxic[:, 1] + self.prior * self.base) / (toxic[:, 1] + clean[:, 1] + self.prior)
+        p = (toxic[:, 0] + self.prior * stem) / (toxic[:, 0] + clean[:, 0] + self.prior)
         p = np.clip(p, 1e-9, 1 - 1e-9)
         return np.maximum(np.log(p / (1 - p)) - math.log(self.base / (1 - self.base)), self.floor) - self.drift
 
@@ -130,15 +144,30 @@ class Model:
             self.known.update(zip(new, self.slot_scores(slots_of(new, self.bits)).tolist()))
         return np.fromiter(map(self.known.__getitem__, words), dtype=float, count=len(words))
 
-    def passages(self, text: str, least: float = 3.0) -> list[tuple[int, int, float]]:
-        """Segments (first word, end word, v) where exp(-v) equally good ones are expected by chance, v > ``least``."""
-        scores = self.token_scores(text)
+    def own_scores(self, text: str, toxic: int) -> np.ndarray:
+        """Token scores of a text that was counted under a label, as they would be had it not been."""
+        words = words_of(text)
+        if not words:
+            return np.zeros(0)
+        distinct = sorted(set(words))
+        slots = slots_of(distinct, self.bits)
+        _, at, n = np.unique(slots, return_inverse=True, return_counts=True)
+        own = n[at].reshape(-1, 2)
+        found = dict(zip(distinct, self.slot_scores(slots, own * (toxic == 0), own * (toxic == 1)).tolist()))
+        return np.fromiter(map(found.__getitem__, words), dtype=float, count=len(words))
+
+    def passages(self, text: str, least: float = 3.0, toxic: int | None = None) -> list[tuple[int, int, float]]:
+        """Segments (first word, end word, v) where exp(-v) equally good ones are expected by chance, v > ``least``.
+
+        ``toxic`` is the label of a text that was counted.
+        """
+        scores = self.token_scores(text) if toxic is None else self.own_scores(text, toxic)
         shift = self.log_scale + math.log(max(len(scores), 1))
         return [(a, b, v) for a, b, s in segments(scores) if (v := self.rate * s - shift) > least]
 
-    def features(self, text: str) -> tuple[float, float, float]:
+    def features(self, text: str, toxic: int | None = None) -> tuple[float, float, float]:
         """Best segment, sum over the significant segments, and their number."""
-        found = [v for *_, v in self.passages(text, least=-1e9)]
+        found = [v for *_, v in self.passages(text, least=-1e9, toxic=toxic)]
         strong = [v for v in found if v > 3.0]
         return max([-5.0, *found]), math.log1p(sum(strong)), math.log1p(len(strong))
 
@@ -181,13 +210,12 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """Fit on labelled rows; rows without a label are left out, null texts are empty.
 
     Token counts cover every labelled row.  Extreme-value scale and final weights are fitted on the
-    ``max_rows`` rows of smallest id hash, as (words, features) rows, never texts.  Without both labels
+    ``max_rows`` rows of smallest id hash, as (words, features) rows, never texts; each of these is scored as if it had
+    not been counted itself, as a new text would be.  Without both labels
     among the rows the counts alone decide.
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), whole_text(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"))
-    counts = token_counts(rows.select("text", "toxic"), bits=bits).toPandas()
-    table = np.zeros((2, 1 << bits), dtype=np.float32)
-    table[0, counts["slot"]], table[1, counts["slot"]] = counts["clean"], counts["toxic"]
+    table = dense_counts(token_counts(rows.select("text", "toxic"), bits=bits), bits)
     model = Model(bits, table, float((table[1].sum(dtype=float) + 1) / (table.sum(dtype=float) + 2)), **options)
     spark = labelled.sparkSession
     first = spark.sparkContext.broadcast(model)
@@ -199,7 +227,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 cols = batch.slice(start, 64).to_pydict()
                 out: dict[str, list] = {"toxic": [], "words": [], "best": [], "bins": []}
                 for text, y in zip(cols["text"], cols["toxic"]):
-                    s = first.value.token_scores(text)
+                    s = first.value.own_scores(text, y)
                     out["toxic"].append(y)
                     out["words"].append(len(s))
                     out["best"].append(max((v for *_, v in segments(s)), default=0.0))
@@ -208,6 +236,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     sample = fit_sample(rows, "id", max_rows).select("text", "toxic")
     seen = sample.mapInArrow(clean_scores, "toxic int, words bigint, best double, bins array<bigint>").toPandas()
+    first.destroy()
     if len(seen) and (seen["toxic"] == 0).any():
         clean = seen[(seen["toxic"] == 0) & (seen["words"] > 0)]
         bins = np.sum(np.stack(clean["bins"]), axis=0) if len(clean) else np.ones(256)
@@ -216,7 +245,8 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             model.log_scale = float(np.mean(model.rate * clean["best"] - np.log(clean["words"])) - np.euler_gamma)
     if seen["toxic"].nunique() == 2:
         tuned = spark.sparkContext.broadcast(model)
-        got = arrow_map(sample, lambda c: {"toxic": c["toxic"], **dict(zip(("a", "b", "c"), map(list, zip(*map(tuned.value.features, c["text"])))))}, "toxic int, a double, b double, c double", rows=64).toPandas()
+        got = arrow_map(sample, lambda c: {"toxic": c["toxic"], **dict(zip(("a", "b", "c"), map(list, zip(*map(tuned.value.features, c["text"], c["toxic"])))))}, "toxic int, a double, b double, c double", rows=64).toPandas()
+        tuned.destroy()
         model.weights = logistic(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(dtype=float))
     return model
 

@@ -2,7 +2,8 @@
 
 Every line is read whole, as the shingles of ``width`` characters that begin at each of its characters.
 MinHash values over the shingles are banded for high recall; lines that share a band bucket are
-compared with the bucket's centre by the exact Jaccard similarity of their sets.  Distributed
+compared with the bucket's centre by the exact Jaccard similarity of their sets.  Sizes of the sets, exactly, and one byte
+of each minimum, by a bound of several standard errors, first rule out pairs that cannot reach the threshold.  Distributed
 union-find joins the links.  A bucket whose lines then hang together is done; any other one meets
 several leaders, then four times as many, and so on until all hang together or all have met.
 One line of each component stays.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from accordant.llm.common import whole_text
 from accordant.llm.graph import components
+from accordant.operators.joins import rejoin_keys
 from accordant.sources.workspace import stored
 
 #: Slots of the broadcast filter: at most this many rows, whatever the input.
@@ -74,8 +76,41 @@ def band_places(n_bands: int, n_rows: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+#: Minima whose bytes go into one long; the highest byte stays free, so that sums stay in range.
+_PER_LONG = 7
+_LOW7, _HIGH = int("7f" * _PER_LONG, 16), int("80" * _PER_LONG, 16)
+
+
+def sketch(minima: list[Column]) -> Column:
+    """One byte of each minimum, seven to a long; a missing minimum is 0."""
+    byte = [F.coalesce(F.shiftright(m, 8).bitwiseAND(255).cast("long"), F.lit(0).cast("long")) for m in minima]
+    longs = [byte[i : i + _PER_LONG] for i in range(0, len(byte), _PER_LONG)]
+    return F.struct(*[sum((F.shiftleft(b, 8 * i) for i, b in enumerate(part)), F.lit(0).cast("long")).alias(f"s{k}") for k, part in enumerate(longs)])
+
+
+def agreeing(a: str, b: str, minima: int = CLASSES * MINIMA) -> Column:
+    """How many bytes two sketches have in common: zero bytes of their difference, counted without a loop."""
+    out = F.lit(0)
+    for k in range(-(-minima // _PER_LONG)):
+        z = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
+        nonzero = (z.bitwiseAND(F.lit(_LOW7)) + F.lit(_LOW7)).bitwiseOR(z).bitwiseAND(F.lit(_HIGH))
+        out = out + min(_PER_LONG, minima - k * _PER_LONG) - F.bit_count(nonzero)
+    return out
+
+
+def may_reach(percent: int, errors: float = 3.5) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles with sketches ``x`` and ``y`` may be similar enough.
+
+    Sizes decide exactly.  Minima rest on as many shingles at most as the smaller set has, so that short lines are
+    given a wider margin; a pair at the threshold is ruled out with odds of some 1 in 4,000.
+    """
+    t, small = percent / 100, F.least("n", "m")
+    margin = errors * F.sqrt(t * (1 - t) / F.least(F.lit(CLASSES * MINIMA), small))
+    return (100 * small >= percent * F.greatest("n", "m")) & (agreeing("x", "y") >= F.floor(CLASSES * MINIMA * (t - margin)))
+
+
 def bands(lines: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
-    """(key, bands): one hash per band of MinHash values of each distinct line.
+    """(key, bands, sketch): one hash per band of MinHash values of each distinct line, and a byte of each value.
 
     Shingles are unfolded inside generated code and the aggregate takes the minima as they come.
     A shingle falls into one of ``CLASSES`` classes by its hash and counts for that class's minima
@@ -91,7 +126,8 @@ def bands(lines: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
     places = band_places(bands, rows)
     used = sorted({p for band in places for p in band})
     whole = least.groupBy("key").agg(*[F.min(F.when(F.col("c") == c, F.col(f"m{k}"))).alias(f"m{c}_{k}") for c, k in used])
-    return whole.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"m{c}_{k}" for c, k in band]) for b, band in enumerate(places)]).alias("bands"))
+    hashes = F.array(*[F.xxhash64(F.lit(b), *[f"m{c}_{k}" for c, k in band]) for b, band in enumerate(places)])
+    return whole.select("key", hashes.alias("bands"), sketch([F.col(f"m{c}_{k}") for c, k in used]).alias("sketch"))
 
 
 def _slot(key: str | Column) -> Column:
@@ -114,9 +150,11 @@ def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: i
     degree = stored(pending.groupBy("key").agg(F.sum("n").alias("degree")), "line-degrees")
     wanted = degree.select("key")
     texts = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
-    texts = stored(texts.select("key", "line"), "line-texts")
+    signs = signed.select("key", "sketch").join(wanted.hint("shuffle_hash"), "key")
+    texts = texts.select("key", "line", F.size(shingle_set(F.col("line"), width)).alias("n")).join(signs, "key")
+    texts = stored(texts.select("key", "line", "n", F.col("sketch").alias("x")), "line-texts")
     # A line is far smaller than its set, so lines travel and sets are made where they meet.
-    left, right = texts, texts.select(F.col("key").alias("lead"), F.col("line").alias("other"))
+    left, right = texts, texts.select(F.col("key").alias("lead"), F.col("line").alias("other"), F.col("n").alias("m"), F.col("x").alias("y"))
     centre = pending.join(degree, "key").groupBy("bucket").agg(F.max_by("key", F.col("degree") * SLOTS + _slot("key")).alias("lead"))
     pending = stored(pending.withColumn("root", F.col("key")).join(centre.withColumnRenamed("lead", "centre"), "bucket"), "line-members")
     found, count = None, 0
@@ -126,7 +164,8 @@ def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: i
         # Lines that hang together already need not meet again.
         met = pending.join(drawn, "bucket").filter("key != lead and root != lead_root")
         pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
-        sets = pairs.join(left, "key").join(right, "lead").select("key", "lead", F.array(F.struct(shingle_set(F.col("line"), width).alias("s"), shingle_set(F.col("other"), width).alias("t"))).alias("sets"))
+        likely = pairs.join(left, "key").join(right, "lead").filter(may_reach(percent))
+        sets = likely.select("key", "lead", F.array(F.struct(shingle_set(F.col("line"), width).alias("s"), shingle_set(F.col("other"), width).alias("t"))).alias("sets"))
         sizes = F.transform("sets", lambda x: F.struct(F.size(F.array_intersect(x["s"], x["t"])).alias("both"), (F.size(x["s"]) + F.size(x["t"])).alias("sum")))[0]
         near = 100 * F.col("z.both") >= percent * (F.col("z.sum") - F.col("z.both"))
         taken = stored(sets.select("key", "lead", sizes.alias("z")).filter(near).select("key", "lead"), "line-links")
@@ -158,7 +197,8 @@ def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     where = [F.col("doc.id").alias("id"), F.col("doc.digest").alias("digest"), F.col("line_no")]
     # The first line by three minima, each an aggregate over plain columns.
     flat = placed.select(*where, "component", F.col("id").isNotNull().alias("named"))
-    first = flat.groupBy("component").agg(F.min(F.struct("named", "id", "digest", "line_no")).alias("first"))
+    # Grouped by component and hash, so that the join has its own exchange and a component of very many lines can be split.
+    first = flat.groupBy(*rejoin_keys("component")).agg(F.min(F.struct("named", "id", "digest", "line_no")).alias("first")).drop("__spread")
     me = F.struct("named", "id", "digest", "line_no")
     return flat.join(first, "component").select("id", "digest", "line_no", "component", (me.eqNullSafe(F.col("first"))).alias("kept"))
 
@@ -169,8 +209,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
     A null text stays null; a text that loses every line is empty.
     """
     drops = decide(docs, id_col=id_col, text_col=text_col, **options).filter("not kept").groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_set("line_no").alias("__drop"))
-    keyed = docs.withColumn("__h", F.xxhash64(whole_text(text_col)))
-    joined = keyed.join(drops.hint("shuffle_hash"), F.col("__h").eqNullSafe(F.col("__digest")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
-    return joined.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    # The rows travel as one column, so that no name of theirs can meet one of ours.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.xxhash64(whole_text(text_col)).alias("__h"), F.col(id_col).alias("__own"))
+    joined = keyed.join(drops.hint("shuffle_hash"), F.col("__h").eqNullSafe(F.col("__digest")) & F.col("__own").eqNullSafe(F.col("__id")), "left")
+    old = F.col("__row")[text_col]
+    left = F.array_join(F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
+    text = F.when(F.col("__drop").isNull(), old).otherwise(left)
+    return joined.select(*[(text if c == text_col else F.col("__row")[c]).alias(c) for c in docs.columns])

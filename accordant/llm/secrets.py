@@ -23,7 +23,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs that the models judge: as long as the shortest value of the base patterns.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
@@ -89,15 +90,14 @@ def drawn_runs(count: int, seed: int = 7) -> list[str]:
     return ["".join(rng.choices(ALPHABETS[i % len(ALPHABETS)], k=rng.randint(20, 48))) for i in range(count)]
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2_000, max_chars: int = 20_000,
-          drawn: int = 2_000) -> np.ndarray:
-    """Fit both models on a bounded sample: about ``max_rows`` rows by the hash of id and text.
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 2_000, drawn: int = 2_000) -> np.ndarray:
+    """Fit both models on a bounded sample: about ``max_rows`` rows by the hash of id and text, their texts whole.
 
-    The labels of the sample are the base patterns.  The bounds keep the sample below 40 million
-    characters at any input size and apply to fitting only; every text is scanned whole.  Transitions
-    are counted in the tasks; the driver gets their sums.
+    The labels of the sample are the base patterns: their values are random strings, all other words ordinary ones.
+    To the random ones come ``drawn`` strings over the usual alphabets of keys, as few samples hold every alphabet.
+    Transitions are counted in the tasks; the driver gets their sums.  Without rows the drawn strings stand alone.
     """
-    sample = fit_sample(docs.select(id_col, F.substring(whole_text(text_col), 1, max_chars).alias("t")), id_col, max_rows, "t")
+    sample = fit_sample(docs.select(id_col, whole_text(text_col).alias("t")), id_col, max_rows, "t")
     size = len(SYMBOLS) + 1
 
     def counted(columns: dict[str, list]) -> dict[str, list]:
@@ -116,16 +116,31 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
 
 
 def markov_spans(text: str, table: np.ndarray, taken: list[tuple[int, int, str]], per_char: float = 0.75, least: float = 20.0) -> list[tuple[int, int, str]]:
-    """Runs more like random strings than identifiers that touch no base span."""
+    """Runs more like random strings than identifiers, unless base spans cover them.
+
+    A run that only begins or ends in a base span is given whole, or the rest of the key would stay.  Numbers are
+    neither identifiers nor keys and are left to the base patterns.
+    """
     out = []
     for m in RUN.finditer(text):
+        if m.group().isdigit():
+            continue
         codes = _codes(m.group())
         llr = table[np.concatenate([[0], codes[:-1]]), codes].sum()
-        if llr >= least and llr >= per_char * len(codes) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
+        if llr >= least and llr >= per_char * len(codes) and not covered(m.start(), m.end(), taken):
             out.append((m.start(), m.end(), "markov"))
     return out
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether spans, in order of their starts, leave nothing of start to end."""
+    for a, b, _ in spans:
+        if a > start:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def all_spans(text: str, table: np.ndarray) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, base and Markov spans)."""
     base = base_spans(text)
@@ -148,8 +163,9 @@ SCAN = "n_assign bigint, n_access bigint, n_hex bigint, n_markov bigint, base_sh
 
 
 def scan(docs: DataFrame, table: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts by kind, the digest of the base spans, all spans, and the text
-    with them masked (``redacted``).  Null texts are read as empty; other columns are ignored."""
+    """One row per row: counts by kind, the digest of the base spans, all spans, and the text
+    with them masked (``redacted``).  Null texts are read as empty; rows without an id and repeated rows are each
+    scanned; other columns are ignored."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def one(columns: dict[str, list]) -> dict[str, list]:

@@ -163,8 +163,7 @@ def test_near_duplicates_edges(spark):
 # --- lines ---------------------------------------------------------------------------------
 
 def line_set(line):
-    units = list(line) if len(line.encode()) >= 2 * len(line) else line.split(" ")
-    return frozenset(" ".join(units[i:i + 4])[:12] for i in range(len(units)))
+    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
 
 
 def test_lines(spark):
@@ -397,3 +396,92 @@ def test_fit_sample(spark):
     df = spark.range(10_000)
     n = fit_sample(df, "id", 500).count()
     assert 400 < n < 600 and fit_sample(df, "id", 20_000).count() == 10_000
+
+
+def test_sketches_count_equal_bytes(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(200):
+        a = [rng.randrange(-2**31, 2**31) if rng.random() < 0.9 else None for _ in range(40)]
+        b = [x if rng.random() < 0.6 else rng.randrange(-2**31, 2**31) for x in a]
+        byte = lambda x: 0 if x is None else (x >> 8) & 255
+        rows.append((a, b, sum(byte(x) == byte(y) for x, y in zip(a, b))))
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>, want int")
+    df = df.select("want", *[line_dedup.sketch([F.col(c)[i] for i in range(40)]).alias(c) for c in ("a", "b")])
+    assert df.filter(line_dedup.agreeing("a", "b") != F.col("want")).count() == 0
+
+
+def test_line_links_against_all_pairs_of_the_table(spark):
+    """Recall over every pair of distinct lines of the small table, and of short lines with one changed character."""
+    text = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    lines = sorted({x for r in text for x in (r.text or "").split("\n") if len(x) >= 20})
+    rng = random.Random(5)
+    short = [x[: rng.randrange(22, 41)] for x in rng.sample(lines, 200)]
+    lines = sorted({*lines, *short, *("#" + x[1:] for x in short), *(x[:-2] + "##" for x in short)})
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].append(i)
+    pairs = set()
+    for i, s in enumerate(sets):
+        both = collections.Counter(j for g in s for j in holders[g] if j > i)
+        pairs |= {(i, j) for j, n in both.items() if 100 * n >= 80 * (len(s) + len(sets[j]) - n)}
+    assert len(pairs) > 300
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    component = {r.id: r.component for r in line_dedup.decide(df).collect()}
+    missed = [p for p in pairs if component[p[0]] != component[p[1]]]
+    assert len(missed) <= 0.01 * len(pairs), (len(missed), len(pairs))
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "a line that is long enough to be judged"
+    df = spark.createDataFrame([(1, line, "h1", "i1", "d1", 5), (2, "x\n" + line, "h2", "i2", "d2", None)], "doc_id long, text string, __h string, __id string, __drop string, __row int")
+    got = sorted(map(tuple, line_dedup.dedup(df).collect()))
+    assert got == [(1, line, "h1", "i1", "d1", 5), (2, "x", "h2", "i2", "d2", None)]
+
+
+def test_markov_spans_against_plain_sums(spark):
+    import math
+
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choices(secrets.ALPHABETS[2], k=n))
+    plain = ["extraordinarily complicated identifiers like get_user_account_name or Versicherungsgesellschaft stand here",
+             "numbers 4915112345678 and 123456789012345 are no keys", "path/to/some/file_name-with-dashes and CONSTANT_NAME_OF_SOMETHING"]
+    texts = plain * 20 + [f"say {key(n)} now" for n in (12, 13, 14, 16, 18, 19, 20, 30)] + [f"x {key(9)}{'0123456789abcdef' * 2}{key(9)} y", "password: " + key(14) + " " + key(16)]
+    sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    table = secrets.train(sample)
+    # The same by dictionaries and loops: counts of pairs, smoothed towards the symbols' own rates.
+    n = len(secrets.SYMBOLS) + 1
+    place = {c: i + 1 for i, c in enumerate(secrets.SYMBOLS)}
+
+    def model(runs):
+        pairs, follows, after = collections.Counter(), collections.Counter(), collections.Counter()
+        for r in runs:
+            for a, b in zip([0, *map(place.get, r)], map(place.get, r)):
+                pairs[a, b] += 1
+                after[a] += 1
+                follows[b] += 1
+        total = sum(follows.values())
+        rate = lambda b: (follows[b] + 0.5) / (total + 0.5 * n)
+        return lambda a, b: math.log((pairs[a, b] + 0.5 * n * rate(b)) / (after[a] + 0.5 * n))
+
+    found = [secrets.samples_of(r.text or "") for r in sample.collect()]
+    random_like, ordinary = model([r for s, _ in found for r in s] + secrets.drawn_runs(2_000)), model([r for _, p in found for r in p])
+
+    def want(text):
+        base, out = secrets.base_spans(text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+            codes = [0, *(place[c] for c in m.group())]
+            llr = sum(random_like(a, b) - ordinary(a, b) for a, b in zip(codes, codes[1:]))
+            inside = all(any(a <= i < b for a, b, _ in base) for i in range(m.start(), m.end()))
+            if llr >= max(20, 0.75 * len(m.group())) and not inside and not m.group().isdigit():
+                out.append((m.start(), m.end(), "markov"))
+        return out
+
+    for t in texts:
+        assert secrets.markov_spans(t, table, secrets.base_spans(t)) == want(t)
+    masked = {r.doc_id: r.text for r in secrets.mask(docs(spark, texts), table).collect()}
+    assert all(masked[i] == t for i, t in enumerate(texts[:60]))
+    assert all(masked[i] == "say [SECRET] now" for i in range(60, 68))
+    assert masked[68] == "x [SECRET] y" and masked[69] == "[SECRET] [SECRET]"

@@ -23,8 +23,53 @@ def interpret(kappa: Column) -> Column:
     return band
 
 
+#: Up to so many annotators the pairs are written out in one aggregate; beyond, generated code would grow with their square.
+WRITTEN_OUT = 16
+
+
+def gram_counts(df: DataFrame, columns: Sequence[str], rows: int = 4096) -> DataFrame:
+    """(i, j, agreeing) for i < j: in how many rows two annotators gave the same label; pairs without any are left out.
+
+    Agreement over all labels is the sum of products of indicator matrices (rows x annotators), one per label.  Tasks
+    multiply blocks of rows and add the products up; what they return, and hold, is annotators x annotators at most.
+    """
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((len(columns), len(columns)), dtype=np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                codes = [c.cast(pa.int64()) for c in part.columns]
+                seen = np.column_stack([np.asarray(c.is_valid()) for c in codes])
+                votes = np.column_stack([np.asarray(c.fill_null(0)) for c in codes])
+                for label in np.unique(votes[seen]):
+                    one = ((votes == label) & seen).astype(np.float32)
+                    total += (one.T @ one).astype(np.int64)
+        i, j = np.nonzero(np.triu(total, 1))
+        yield pa.RecordBatch.from_pydict({"i": i, "j": j, "agreeing": total[i, j]}, schema=pa.schema([("i", pa.int32()), ("j", pa.int32()), ("agreeing", pa.int64())]))
+
+    votes = df.select(*[F.col(f"`{c}`").cast("long").alias(f"v{k}") for k, c in enumerate(columns)])
+    return votes.mapInArrow(count, "i int, j int, agreeing bigint").groupBy("i", "j").agg(F.sum("agreeing").alias("agreeing"))
+
+
+def _all_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of ``_pair_counts`` from ``gram_counts``; the pairs come from a range, so the plan stays small."""
+    n = len(columns)
+    names = F.array(*[F.lit(annotator_name(c)) for c in columns])
+    i, j = (F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j")
+    pairs = df.sparkSession.range(n * n).select(i, j).filter("i < j")
+    counted = pairs.join(gram_counts(df, columns), ["i", "j"], "left")
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counted.select(F.get(names, "i").alias("annotator_1"), F.get(names, "j").alias("annotator_2"), "i", "j",
+                          F.coalesce("agreeing", F.lit(0)).alias("agreeing"), total.alias("n"))
+
+
 def _pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per pair i < j with the agreeing and total rows: a single aggregate."""
+    if len(columns) > WRITTEN_OUT:
+        return _all_pairs(df, columns)
     pairs = list(combinations(range(len(columns)), 2))
     sums = [F.count_if(V.same(F.col(columns[i]), F.col(columns[j]))).alias(f"p{i}_{j}")
             for i, j in pairs]

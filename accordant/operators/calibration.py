@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from accordant.functions import confidence as K, text as T
 from accordant.operators import ranking
 from accordant.operators.consensus import annotator_name
+from accordant.operators.joins import null_safe_join
 
 
 def long_confidences(df: DataFrame, columns: Sequence[str], conf_suffix: str = "_rep1_conf",
@@ -118,3 +119,16 @@ def calibration_comparison(scores: DataFrame, identity: str, by: Sequence[str] =
                            seed: int = 42) -> DataFrame:
     """ECE and balanced Brier score side by side."""
     return expected_calibration_error(scores, by).join(balanced_brier(scores, identity, by, seed), list(by))
+
+
+def confidence_profile(df: DataFrame, by: Sequence[str], confidence: str = "mean_confidence", correct: str = "correct") -> DataFrame:
+    """Per group: rows, mean and quartiles of the confidence, and the hit rate.
+
+    Quartiles are exact and interpolated; a group may hold any share of the rows.  Rows without a confidence count
+    for the hit rate only.
+    """
+    means = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("mean"), F.min(confidence).alias("min"),
+                                F.max(confidence).alias("max"), F.avg(correct).alias("hit_rate"))
+    found = ranking.exact_quantiles(df, confidence, [0.25, 0.5, 0.75], by)
+    at = [F.max(F.when(F.col("fraction") == f, F.col("quantile"))).alias(name) for f, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    return null_safe_join(means, found.groupBy(*by).agg(*at), list(by), "left")

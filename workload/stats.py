@@ -510,3 +510,69 @@ def type_counts(spark, sf_dir):
     return r9(base(spark, sf_dir).groupBy("dataset", "consensus_type").agg(
         F.count(F.lit(1)).alias("n"), F.avg("mean_confidence").alias("mean_confidence"),
         F.avg("correct").alias("hit_rate")), "mean_confidence", "hit_rate")
+
+
+def _profile_sql(by: str) -> str:
+    return f"""
+SELECT {by}, count(*) AS n, round(avg(mean_confidence), 9) AS mean, round(min(mean_confidence), 9) AS min, round(max(mean_confidence), 9) AS max,
+       round(avg(correct), 9) AS hit_rate, round(quantile_cont(mean_confidence, 0.25), 9) AS q1, round(quantile_cont(mean_confidence, 0.5), 9) AS median,
+       round(quantile_cont(mean_confidence, 0.75), 9) AS q3 FROM rb GROUP BY 1"""
+
+
+def profile(spark, sf_dir, by):
+    return r9(L.confidence_profile(base(spark, sf_dir).select(by, "mean_confidence", "correct"), [by]), "mean", "min", "max", "hit_rate", "q1", "median", "q3")
+
+
+@register("confidence_by_dataset", with_votes(_profile_sql("dataset"), REG))
+def confidence_by_dataset(spark, sf_dir):
+    return profile(spark, sf_dir, "dataset")
+
+
+@register("confidence_by_type", with_votes(_profile_sql("consensus_type"), REG))
+def confidence_by_type(spark, sf_dir):
+    return profile(spark, sf_dir, "consensus_type")
+
+
+# --- all models, by elimination in SQL ---------------------------------------------------------
+
+_TYPE = [("consensus_type[T.3x0]", "consensus_code")]
+_DATASET = [(f"dataset[T.{d}]", f"(dataset = '{d}')::INT") for d in sorted(f"src{i}" for i in range(20))[1:]]
+_MEAN, _EACH = [("mean_confidence", "mean_confidence")], list(zip(CONFS, ("ca", "cb", "cc")))
+DESIGNS = {
+    "M1": _MEAN, "M2": _EACH, "M3": _TYPE + _MEAN, "M4": _TYPE + _MEAN + [("mean_confidence:consensus_type[T.3x0]", "mean_confidence * consensus_code")],
+    "M5": _TYPE + _DATASET + _MEAN, "M6": _TYPE + _DATASET + _EACH + [("std_confidence", "std_confidence")],
+}
+
+
+def ols_sql(name: str, design) -> tuple[str, str]:
+    """(common table expressions, rows) of a least-squares fit with HC1 errors; the normal equations are solved column by column."""
+    t, terms = name.lower(), [("Intercept", "1"), *design]
+    k = len(terms)
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+    ctes = [f"{t}x AS MATERIALIZED (SELECT [{', '.join(f'({e})::DOUBLE' for _, e in terms)}] AS x, correct::DOUBLE AS y FROM rb)",
+            f"{t}i AS (SELECT unnest(range(1, {k + 1})) AS i)",
+            f"{t}g0 AS MATERIALIZED (SELECT i, list(v ORDER BY j) || list_transform(range(1, {k + 1}), lambda c: CASE WHEN c = i THEN 1e0 ELSE 0e0 END) AS r FROM "
+            f"(SELECT p.i AS i, q.i AS j, sum(x[p.i] * x[q.i]) AS v FROM {t}x, {t}i p, {t}i q GROUP BY 1, 2) GROUP BY i)"]
+    for p in range(1, k + 1):
+        ctes.append(f"{t}g{p} AS MATERIALIZED (SELECT g.i, CASE WHEN g.i = {p} THEN list_transform(g.r, lambda e: e / b.pivot) ELSE "
+                    f"list_transform(list_zip(g.r, b.r), lambda z: z[1] - g.r[{p}] * z[2] / b.pivot) END AS r "
+                    f"FROM {t}g{p - 1} g, (SELECT r, r[{p}] AS pivot FROM {t}g{p - 1} WHERE i = {p}) b)")
+    ctes += [f"{t}v AS MATERIALIZED (SELECT i, r[{k + 1}:{2 * k}] AS r FROM {t}g{k})",
+             f"{t}b AS MATERIALIZED (SELECT v.i, sum({dot('v.r', 'x')} * y) AS coef FROM {t}v v, {t}x GROUP BY v.i)",
+             f"{t}e AS MATERIALIZED (SELECT x, y - {dot('x', 'c')} AS e FROM {t}x, (SELECT list(coef ORDER BY i) AS c FROM {t}b))",
+             f"{t}h AS (SELECT v.i, sqrt(count(*) / (count(*) - {k}e0) * sum(({dot('v.r', 'x')} * e) ** 2)) AS se FROM {t}v v, {t}e GROUP BY v.i)"]
+    names = "[" + ", ".join(f"'{n}'" for n, _ in terms) + "]"
+    return ",\n".join(ctes), f"SELECT '{name}' AS model, {names}[i] AS term, coef, se FROM {t}b JOIN {t}h USING (i)"
+
+
+_MODELS = {name: ols_sql(name, design) for name, design in DESIGNS.items()}
+
+
+@register("lpm_coefficients", with_votes(f"""
+SELECT model, term, round(coef, 7) AS coef, round(se, 7) AS std_err, round(coef / se, 4) AS z, round(coef - {Z} * se, 7) AS ci_low, round(coef + {Z} * se, 7) AS ci_high
+FROM ({" UNION ALL ".join(rows for _, rows in _MODELS.values())})""", REG, ",\n".join(ctes for ctes, _ in _MODELS.values())))
+def lpm_coefficients(spark, sf_dir):
+    """All six models with robust errors, from two scans."""
+    out = R.coefficient_table(R.fit_models(base(spark, sf_dir), F.col("correct"), FORMULAS)).drop("p_value")
+    return out.withColumns({**{c: F.round(c, 7) for c in ("coef", "std_err", "ci_low", "ci_high")}, "z": F.round("z", 4)})
+

@@ -10,7 +10,7 @@ from accordant.plans import jobs
 from accordant.sources.versions import Version
 from accordant.sources.workspace import fresh_path, stored
 from accordant.streaming import incremental
-from workload.agreement import r9
+from workload.agreement import BAND, r9
 from workload.base import ANNOTATORS, CATEGORIES, DESCRIPTIONS, VOTES, annotations, language_label, register, sql_strip, table, with_votes
 from workload.consensus import majority
 from workload.tables import CV, DESC, FOLDS, UNIQ, cv_folds, deduped
@@ -240,6 +240,34 @@ def cv_eval(spark, sf_dir):
     return TR.cv_summary(TR.cross_validate(rows, CATEGORIES))
 
 
+#: Metrics of a constant prediction: its own class has precision and recall, all others have none.
+_CONSTANT = """
+hits AS (SELECT fold, label, count(*) AS n FROM (SELECT DISTINCT fold, doc_id, text_id, label FROM cv WHERE split = 'val' AND NOT EXISTS
+           (SELECT 1 FROM tr WHERE tr.fold = cv.fold AND tr.text_id = cv.text_id AND tr.label <> -1)) WHERE label BETWEEN 0 AND 3 GROUP BY ALL),
+best AS (SELECT fold, label AS pred FROM (SELECT fold, label, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, label) AS rk
+         FROM tr WHERE label BETWEEN 0 AND 3 GROUP BY fold, label) WHERE rk = 1),
+folded AS (SELECT fold, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (WHERE label = pred), 0) / sum(n) AS acc, max((label = pred)::INT) AS seen,
+                  count(*) + 1 - max((label = pred)::INT) AS k FROM hits JOIN best USING (fold) GROUP BY fold)"""
+
+
+@register("cv_majority", with_votes("""
+SELECT fold, n, round(acc, 9) AS accuracy, round(2 * acc / (1 + acc) / k, 9) AS f1_macro, round(acc / k, 9) AS precision_macro, round(seen / k::DOUBLE, 9) AS recall_macro
+FROM folded""", FOLDS, UNIQ, CV, _CONSTANT))
+def cv_majority(spark, sf_dir):
+    """The baseline of the folds: an estimator of the user's own, trained on annotated and scored on true labels."""
+    rows = stored(aligned_texts(spark, sf_dir, cv_folds(spark, sf_dir)), "aligned", ["fold"])
+    return r9(TR.cross_validate(rows, CATEGORIES, TR.MajorityLabel), "accuracy", "f1_macro", "precision_macro", "recall_macro")
+
+
+@register("cv_majority_summary", with_votes("""
+SELECT metric, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, count(*) AS folds FROM (
+  SELECT 'accuracy' AS metric, acc AS v FROM folded UNION ALL SELECT 'f1_macro', 2 * acc / (1 + acc) / k FROM folded
+  UNION ALL SELECT 'precision_macro', acc / k FROM folded UNION ALL SELECT 'recall_macro', seen / k::DOUBLE FROM folded) GROUP BY metric""", FOLDS, UNIQ, CV, _CONSTANT))
+def cv_majority_summary(spark, sf_dir):
+    rows = stored(aligned_texts(spark, sf_dir, cv_folds(spark, sf_dir)), "aligned", ["fold"])
+    return r9(TR.cv_summary(TR.cross_validate(rows, CATEGORIES, TR.MajorityLabel)), "mean", "std")
+
+
 @register("cv_compare_sources")
 def cv_compare(spark, sf_dir):
     """The same folds trained on true and on consensus labels."""
@@ -273,6 +301,34 @@ def consensus_job_summary(spark, sf_dir):
         F.size("validation.classification_report").cast("bigint").alias("report_rows"))
 
 
+@register("experiment_summary_fields", with_votes(f"""
+SELECT 'documents' AS name, count(*) AS total_texts, '0,1,2,3' AS categories, true AS has_ground_truth, 'ann_a,ann_b,ann_c' AS models, 3 AS total_models,
+       0.8::DOUBLE AS threshold, 'majority_vote' AS strategy, round(avg(score), 9) AS consensus_mean, round(median(score), 9) AS consensus_median,
+       count(*) FILTER (WHERE lvl = 'high') AS high, count(*) FILTER (WHERE lvl = 'medium') AS medium, count(*) FILTER (WHERE lvl = 'low') AS low,
+       round(any_value(kappa), 9) AS fleiss_kappa, {BAND.format('any_value(kappa)')} AS interpretation,
+       round(avg((mode = ground_truth)::INT) FILTER (WHERE ground_truth <> -1 AND mode <> -1), 9) AS accuracy,
+       count(*) FILTER (WHERE ground_truth <> -1 AND mode <> -1) AS support
+FROM uniq, (SELECT (p_bar - p_e) / (1 - p_e) AS kappa FROM
+     (SELECT avg((sq - 3) / 6e0) AS p_bar FROM (SELECT u.doc_id, coalesce(sum(n * n) FILTER (WHERE label <> -1), 0) AS sq
+            FROM uniq u LEFT JOIN tally USING (doc_id) GROUP BY u.doc_id)),
+     (SELECT sum(s * s) AS p_e FROM (SELECT count(*) / (3e0 * (SELECT count(*) FROM uniq)) AS s
+            FROM long WHERE label <> -1 AND doc_id IN (SELECT doc_id FROM uniq) GROUP BY label)))""", UNIQ))
+def experiment_summary_fields(spark, sf_dir):
+    """Every field of the nested summary row, as the job writes it and reads it back from JSON."""
+    path = fresh_path(spark, "experiment")
+    s = jobs.consensus_job(annotations(spark, sf_dir), dataset="documents", order="doc_id", categories=CATEGORIES, output=path).summary
+    s = spark.read.schema(s.schema).json(f"{path}/summary")
+    overall = F.filter("validation.classification_report", lambda r: r["class"] == "accuracy")[0]
+    return s.select(
+        "dataset.name", "dataset.total_texts", F.array_join(F.transform("dataset.categories", lambda c: c.cast("string")), ",").alias("categories"),
+        "dataset.has_ground_truth", F.array_join("config.models", ",").alias("models"), "config.total_models",
+        F.col("config.consensus_threshold").alias("threshold"), F.col("config.consensus_strategy").alias("strategy"),
+        F.round("results.consensus_mean", 9).alias("consensus_mean"), F.round("results.consensus_median", 9).alias("consensus_median"),
+        F.col("results.high_consensus").alias("high"), F.col("results.medium_consensus").alias("medium"), F.col("results.low_consensus").alias("low"),
+        F.round("metrics.fleiss_kappa", 9).alias("fleiss_kappa"), F.col("metrics.fleiss_interpretation").alias("interpretation"),
+        F.round(overall["f1"], 9).alias("accuracy"), overall["support"].cast("long").alias("support"))
+
+
 @register("experiment_summary_json")
 def experiment_summary(spark, sf_dir):
     report = jobs.consensus_job(annotations(spark, sf_dir), dataset="documents", order="doc_id", categories=CATEGORIES)

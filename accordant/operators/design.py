@@ -152,22 +152,27 @@ def anova_levels(df: DataFrame, response: str, factor: str, *, confidence: float
 
 
 def level_differences(df: DataFrame, response: str, factor: str, *, confidence: float = 0.95,
-                      inference: bool = True) -> DataFrame:
+                      inference: bool = True, tile: int = 256) -> DataFrame:
     """Differences of level means for every pair of levels.
 
-    The level table is folded into one sorted array (one entry per level) and paired there.
+    Levels are dealt into blocks of about ``tile`` by hash, and every two blocks meet in a tile of their own: a level
+    goes to as many tiles as there are blocks, and a task makes the pairs of some tiles only.
     """
     sums = _level_sums(df, response, factor)
-    levels = sums.agg(
-        F.sort_array(F.collect_list(F.struct("level", "r", "mean"))).alias("v"))
-    v = F.col("v")
-    both = F.flatten(F.transform(v, lambda x, i: F.transform(
-        F.slice(v, i + 2, F.size(v)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    blocks = max(1, -(-sums.count() // tile))
+    block = F.pmod(F.xxhash64("level"), F.lit(blocks)).cast("int")
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    dealt = sums.filter(F.col("level").isNotNull()).select("level", "r", "mean", block.alias("own")).withColumn("other", F.explode(others))
+    tiles = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "level", "r", "mean")
+    a = tiles.select("i", "j", F.struct("level", "r", "mean").alias("a"))
+    b = tiles.select("i", "j", F.struct("level", "r", "mean").alias("b"))
+    # Both levels of a pair in one block meet in the tile of that block with itself; other tiles pair across.
+    met = a.join(b, ["i", "j"]).filter((F.col("a.level") < F.col("b.level")) & ((F.col("i") == F.col("j")) | (_block("a", blocks) != _block("b", blocks))))
     mse, dfe = (_anova(sums).select(c).scalar() for c in ("mse", "df_e"))
-    pairs = levels.select(F.explode(both).alias("p")).select(
-        F.col("p.a.level").alias("level_1"), F.col("p.b.level").alias("level_2"),
-        (F.col("p.a.mean") - F.col("p.b.mean")).alias("difference"),
-        (F.sqrt(mse) * F.sqrt(1.0 / F.col("p.a.r") + 1.0 / F.col("p.b.r"))).alias("std_error"), dfe.alias("df_e"))
+    pairs = met.select(
+        F.col("a.level").alias("level_1"), F.col("b.level").alias("level_2"),
+        (F.col("a.mean") - F.col("b.mean")).alias("difference"),
+        (F.sqrt(mse) * F.sqrt(1.0 / F.col("a.r") + 1.0 / F.col("b.r"))).alias("std_error"), dfe.alias("df_e"))
     if not inference:
         return pairs
     half = tails.t_critical(F.col("df_e"), confidence) * F.col("std_error")
@@ -177,6 +182,10 @@ def level_differences(df: DataFrame, response: str, factor: str, *, confidence:
             .withColumn("differs", (F.col("ci_low") > 0) | (F.col("ci_high") < 0)).drop("half"))
 
 
+def _block(side: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(f"{side}.level"), F.lit(blocks))
+
+
 def residuals(df: DataFrame, response: str, group: str, out: str = "residual") -> DataFrame:
     """Response minus its group mean, by a join on the group table so no group is gathered."""
     means = measured(df.groupBy(group).agg(F.avg(response).alias("__mean")))

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from accordant.operators import agreement, calibration, intervals
+from accordant.operators import agreement, calibration, consensus, design, intervals
+from accordant.sources.workspace import fresh_path
+from accordant.streaming import incremental, late_votes
 
 
 def votes(spark, n_rows, n_seats, seed=1):
@@ -82,3 +84,40 @@ def test_confidence_profile(spark):
     got = {r.g: r for r in calibration.confidence_profile(df, ["g"]).collect()}
     assert (got["a"].n, got["a"].median, got["a"].q1, got["a"].q3, got["a"].hit_rate) == (4, 0.5, pytest.approx(0.3), pytest.approx(0.7), 0.75)
     assert (got[None].n, got[None].median, got[None].hit_rate) == (2, 0.5, 0.5) and got["b"].median is None and got["b"].n == 1
+
+
+def test_pairs_of_five_thousand_levels(spark):
+    n = 5_000
+    df = spark.range(4 * n).select((F.col("id") % n).alias("level"), (F.xxhash64("id") % 1000).cast("double").alias("y"))
+    pairs = design.level_differences(df, "y", "level", inference=False)
+    got = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("level_2") - F.col("level_1")).alias("d"), F.count_if(F.col("level_1") >= F.col("level_2")).alias("bad")).first()
+    assert (got["n"], got["d"], got["bad"]) == (n * (n - 1) // 2, sum(k * (n - k) for k in range(n)), 0)
+    few = df.filter("level < 40")
+    rows = lambda tile: sorted(map(tuple, design.level_differences(few, "y", "level", tile=tile).collect()))
+    assert rows(7) == rows(1000) and len(rows(7)) == 780
+
+
+def test_late_votes_end_where_the_batch_ends(spark):
+    rng = random.Random(2)
+    votes = [(f"t{i}", rep, rng.randrange(3)) for i in range(40) for rep in range(1, 6)]
+    rng.shuffle(votes)
+    source, path, state = (fresh_path(spark, n) for n in ("votes", "tallies", "progress"))
+    shape = "text_id string, rep int, label int"
+
+    def run(checkpoint):
+        live = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
+        incremental.run_available(late_votes.consensus_stream(live, path, checkpoint, merge_after=3))
+
+    for k in range(0, len(votes), 40):
+        spark.createDataFrame(votes[k : k + 40], shape).coalesce(1).write.mode("append").parquet(source)
+        run(state)
+        so_far = spark.createDataFrame(votes[: k + 40], shape).withColumn("elapsed_sec", F.lit(0.0))
+        want = consensus.repetition_consensus(so_far, ["text_id"]).select("text_id", "label", "score", "repetitions")
+        got = late_votes.current_consensus(spark, path)
+        assert sorted(map(tuple, got.drop("level").collect())) == sorted(map(tuple, want.collect()))
+        levels = {r["level"]: r["n"] for r in got.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert {r["consensus_level"]: r["n"] for r in late_votes.current_levels(spark, path).collect()} == levels
+    before = sorted(map(tuple, late_votes.current_consensus(spark, path).collect()))
+    run(fresh_path(spark, "lost"))  # a lost checkpoint replays batches whose numbers are committed
+    assert sorted(map(tuple, late_votes.current_consensus(spark, path).collect())) == before
+    assert len(late_votes.tallies(spark, path).version().parts) < 3

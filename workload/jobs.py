@@ -9,7 +9,7 @@ from accordant.operators import align as J, annotate as N, consensus as C, train
 from accordant.plans import jobs
 from accordant.sources.versions import Version
 from accordant.sources.workspace import fresh_path, stored
-from accordant.streaming import incremental
+from accordant.streaming import incremental, late_votes
 from workload.agreement import BAND, r9
 from workload.base import ANNOTATORS, CATEGORIES, DESCRIPTIONS, VOTES, annotations, language_label, register, sql_strip, table, with_votes
 from workload.consensus import majority
@@ -176,6 +176,39 @@ def stream_level_counts(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@register("stream_late_votes", with_votes("""
+SELECT doc_id::VARCHAR AS text_id, label, round(n / total::DOUBLE, 9) AS score, total::BIGINT AS repetitions FROM (
+  SELECT doc_id, label, n, sum(n) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rk
+  FROM (SELECT doc_id, label, count(*) AS n, min(seat) AS first FROM long GROUP BY doc_id, label)) WHERE rk = 1"""))
+def stream_late_votes(spark, sf_dir):
+    """The votes of a text arrive apart and in any order; what stands in the end is the consensus of all of them."""
+    seats = F.array(*[F.struct(F.lit(i + 1).alias("rep"), F.col(v).alias("label")) for i, v in enumerate(VOTES)])
+    votes = annotations(spark, sf_dir).select(F.col("doc_id").cast("string").alias("text_id"), F.explode(seats).alias("v")).select("text_id", "v.*")
+    source, path, state = (fresh_path(spark, n) for n in ("votes", "tallies", "progress"))
+    turn = F.pmod(F.xxhash64("text_id", "rep"), F.lit(3))
+    for k in range(3):
+        votes.filter((turn == k) & F.col("label").isNotNull()).write.mode("append").parquet(source)
+        live = spark.readStream.schema("text_id string, rep int, label int").parquet(source)
+        incremental.run_available(late_votes.consensus_stream(live, path, state, merge_after=3))
+    out = late_votes.current_consensus(spark, path)
+    return out.select("text_id", "label", F.round("score", 9).alias("score"), "repetitions")
+
+
+@register("stream_late_levels", with_votes("""
+SELECT case when s >= 0.8 then 'high' when s >= 0.6 then 'medium' else 'low' end AS consensus_level, count(*) AS n FROM (
+  SELECT doc_id, max(n) / sum(n)::DOUBLE AS s FROM (SELECT doc_id, label, count(*) AS n FROM long GROUP BY doc_id, label) GROUP BY doc_id) GROUP BY 1"""))
+def stream_late_levels(spark, sf_dir):
+    """Running counts per level, with every change of a text's level taken back from the old one."""
+    seats = F.array(*[F.struct(F.lit(i + 1).alias("rep"), F.col(v).alias("label")) for i, v in enumerate(VOTES)])
+    votes = annotations(spark, sf_dir).select(F.col("doc_id").cast("string").alias("text_id"), F.explode(seats).alias("v")).select("text_id", "v.*")
+    source, path, state = (fresh_path(spark, n) for n in ("votes", "tallies", "progress"))
+    for seat in (3, 1, 2):
+        votes.filter((F.col("rep") == seat) & F.col("label").isNotNull()).write.mode("append").parquet(source)
+        live = spark.readStream.schema("text_id string, rep int, label int").parquet(source)
+        incremental.run_available(late_votes.consensus_stream(live, path, state))
+    return late_votes.current_levels(spark, path)
+
+
 # --- training sets ---------------------------------------------------------------------------
 
 def _selected(rows):

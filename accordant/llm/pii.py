@@ -17,7 +17,7 @@ KINDS = ("email", "phone", "card", "ssn", "date", "ip")
 #: Telephone numbers: three, three and four digits; with a country code after + or 00; behind a trunk 0; nine digits in Spain.
 NORTH_AMERICAN = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 INTERNATIONAL = r"(?:\+|00(?=\d+[ ./-]))[1-9](?:[ ./-]?(?:\(\d{1,5}\)|\d)){4,14}"
-TRUNK = (r"(?!\d{3}-\d\d-\d{4}(?!\d))(?!\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})"
+TRUNK = (r"(?!\d{3}-\d\d-\d{4}(?!\d))(?!\d\d-\d\d-(?:19|20)\d\d(?!\d))(?!\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})"
          r"(?:0[1-9](?:[ .-]\d\d){4}|(?:\(0[1-9]\d{0,3}\) ?|0[1-9]\d{0,3}[ /-])\d{2,8}(?:[ -]\d{2,8}){0,3})(?![ /.-]?\d)")
 SPANISH = r"(?<!\d[ .,])(?:[6-9]\d\d \d{3} \d{3}|[6-9]\d\d \d\d \d\d \d\d|[89]\d \d{3} \d\d \d\d)(?![ .,]?\d)"
 COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -27,7 +27,7 @@ PATTERNS = {
     "phone": rf"(?<![\w+])(?:{NORTH_AMERICAN}|{INTERNATIONAL}|{TRUNK}|{SPANISH})(?![\w-])",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "ssn": r"(?<![\w.-])\d{3}-\d\d-\d{4}(?![\w-])",
-    "date": r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?=T\d|[^\w/-]|$)",
+    "date": r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d([./-])\d\d\1(?:19|20)\d\d)(?=T\d|[^\w/-]|$)",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w.]*\w)",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
@@ -128,21 +128,73 @@ def _ssn(m: Column, key: str, back: bool) -> Column:
     return _written(m, F.concat(_padded(F.when(a >= 666, a + 1).otherwise(a), 3), _padded(p["l"] % 99 + 1, 2), _padded(p["r"] + 1, 4)))
 
 
-def _day(m: Column) -> Column:
-    """The date a match names, null if there is none: year first, else day first, or month first after a slash."""
-    d = _digits(m)
-    iso = F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2))
-    day_first = F.concat_ws("-", F.substring(d, 5, 4), F.substring(d, 3, 2), F.substring(d, 1, 2))
-    month_first = F.concat_ws("-", F.substring(d, 5, 4), F.substring(d, 1, 2), F.substring(d, 3, 2))
-    return F.when(m.contains("-"), iso).when(m.contains("/"), month_first).otherwise(day_first).try_cast("date")
+#: Separators after which a date that can be read both ways has its month first.
+MONTH_FIRST = "/"
+
+
+def _read(m: Column, month_first: str) -> tuple[Column, Column, Column]:
+    """(date, late, month leads) of a match; the date is null if there is none.
+
+    Year first, or else in the usual order of its separator.  A date that is none in that order is read in the other
+    one; its day is then past the twelfth (``late``).  With dots the day is always first.
+    """
+    sep, by_year = F.substring(m, 3, 1), m.rlike("^[0-9]{4}")
+    leads = (F.instr(F.lit(month_first), sep) > 0) & (sep != ".")
+    part = lambda start, length: F.substring(m, start, length)
+    first = F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)).try_cast("date")  # the day first
+    second = F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)).try_cast("date")
+    usual, other = F.when(leads, second).otherwise(first), F.when(leads, first).when(sep != ".", second)
+    late = ~by_year & usual.isNull() & other.isNotNull()
+    return F.when(by_year, m.try_cast("date")).otherwise(F.coalesce(usual, other)), late, F.when(late, ~leads).otherwise(leads)
+
+
+def _days(day: Column) -> Column:
+    return F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _later(day: Column, key: str, back: bool) -> Column:
+    """A permutation of the dates past the twelfth of their month, 1900 to 2099.
+
+    Days up to the 28th change freely; a 29th, 30th or 31st stays one, as other months and years have it too.
+    """
+    long = F.array(*[F.lit(x) for x in (1, 3, 5, 7, 8, 10, 12)])
+
+    def pick(x: Column, free: Column, feb: Column, whole: Column, rest: Column) -> Column:
+        return F.when(x["d"] <= 28, free).when((x["d"] == 29) & (x["mo"] == 2), feb).when(x["d"] == 31, whole).otherwise(rest)
+
+    def permuted(x: Column) -> Column:
+        y, mo, d = x["y"], x["mo"], x["d"]
+        leaps = F.floor((y - 4) / 4)
+        left = pick(x, y * 12 + mo - 1, F.floor(leaps / 7), y, y)
+        right = pick(x, d - 13, leaps % 7, F.array_position(long, mo) - 1, F.when(mo == 1, F.lit(0)).otherwise(mo - 2))
+        a, b = pick(x, F.lit(2400), F.lit(7), F.lit(200), F.lit(200)), pick(x, F.lit(16), F.lit(7), F.lit(7), F.lit(11))
+        sides = F.struct(left.cast("long").alias("left"), right.cast("long").alias("right"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+        return _let(_let(sides, lambda s: feistel(s["left"], s["right"], s["a"], s["b"], key, "late-date", back)), lambda p: made(x, p["l"], p["r"]))
+
+    def made(x: Column, left: Column, right: Column) -> Column:
+        year = pick(x, F.floor(left / 12), (left * 7 + right) * 4 + 4, left, left) + 1900
+        month = pick(x, left % 12 + 1, F.lit(2), F.get(long, right.cast("int")), F.when(right == 0, F.lit(1)).otherwise(right + 2))
+        return F.make_date(year.cast("int"), month.cast("int"), F.when(x["d"] <= 28, right + 13).otherwise(x["d"]).cast("int"))
+
+    return _let(F.struct((F.year(day) - 1900).alias("y"), F.month(day).alias("mo"), F.dayofmonth(day).alias("d")), permuted)
+
+
+def _date(m: Column, key: str, back: bool, month_first: str) -> Column:
+    def anywhere(day: Column) -> Column:
+        p = _let(_days(day), lambda n: feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date", back))
+        return _let(p, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int")))
 
+    def written(x: Column) -> Column:
+        new = F.when(x["late"], _later(x["day"], key, back)).otherwise(anywhere(x["day"]))
+        return _let(new, lambda day: F.when(m.rlike("^[0-9]{4}"), F.date_format(day, "yyyyMMdd")).when(x["leads"], F.date_format(day, "MMddyyyy")).otherwise(F.date_format(day, "ddMMyyyy")))
 
-def _date(m: Column, key: str, back: bool) -> Column:
-    n = F.datediff(_day(m), F.lit(FIRST_DAY).cast("date"))
-    p = feistel(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date", back)
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * DAYS[1] + p["r"]).cast("int"))
-    form = lambda f: F.date_format(day, f)
-    return _written(m, F.when(m.contains("-"), form("yyyyMMdd")).when(m.contains("/"), form("MMddyyyy")).otherwise(form("ddMMyyyy")))
+    day, late, leads = _read(m, month_first)
+    return _written(m, _let(F.struct(day.alias("day"), late.alias("late"), leads.alias("leads")), written))
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
@@ -192,16 +244,16 @@ def _email(m: Column, key: str, back: bool) -> Column:
     return F.concat(F.aggregate(F.split(name, ""), start, put)["s"], F.lit("@"), domain)
 
 
-def kind_of(m: Column) -> Column:
+def kind_of(m: Column, month_first: str = MONTH_FIRST) -> Column:
     """The kind of a match that passes its format's check, else null."""
     whole = {k: m.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
     d = _digits(m)
     octets = F.transform(F.split(m, r"\."), lambda x: x.try_cast("int"))
-    n = F.datediff(_day(m), F.lit(FIRST_DAY).cast("date"))
+    day, late, _ = _read(m, month_first)
     checked = {
         "email": F.lit(True), "phone": F.length(F.regexp_replace(d, "^00", "")).between(7, 15), "card": _luhn(d) % 10 == 0,
         "ssn": ~F.substring(d, 1, 3).isin("000", "666") & (F.substring(d, 1, 1) != "9") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000"),
-        "date": n.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1), "ip": F.forall(octets, lambda x: x <= 255),
+        "date": _let(F.struct(day.alias("day"), late.alias("late")), lambda x: x["day"].isNotNull() & (x["late"] | _days(x["day"]).between(0, DAYS[0] * DAYS[1] - 1))), "ip": F.forall(octets, lambda x: x <= 255),
     }
     out = F.lit(None).cast("string")
     for k in reversed(KINDS):
@@ -209,30 +261,34 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, kind: Column, key: str, back: bool = False) -> Column:
+def pseudonym(m: Column, kind: Column, key: str, back: bool = False, month_first: str = MONTH_FIRST) -> Column:
     """The pseudonym of a match of a known kind."""
-    makers = {"email": _email, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date, "ip": _ip}
+    makers = {"email": _email, "phone": _phone, "card": _card, "ssn": _ssn, "date": lambda *a: _date(*a, month_first), "ip": _ip}
     out = m
     for k, make in makers.items():
         out = F.when(kind == k, make(m, key, back)).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", back: bool = False, month_first: str = MONTH_FIRST) -> DataFrame:
     """All rows and columns, ``text_col`` with its personal data replaced, and ``pii``: an array of
     (kind, start, end) in code points of the new text, end exclusive.
 
-    Null texts stay null with an empty array.  ``back`` turns pseudonyms made with the same key into
-    what they stand for.  A column named ``pii`` is replaced.
+    Dates such as 05/04/2024 that can be read both ways have their month first after the separators in ``month_first``
+    and their day first after others; 25/12/2024 is read the only way it can be.  Null texts stay null with an
+    empty array; repeated rows are each replaced, and alike; texts of any length are replaced whole.  ``back`` turns
+    pseudonyms made with the same key into what they stand for.  A column named ``pii`` is replaced, any other name
+    may be used.
     """
-    text = F.col(f"`{text_col}`")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    text = F.col("__text")
     # Texts without a digit or an at sign, the only things all kinds need, are not searched.
     hit = text.rlike("[0-9@]")
     found = F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("__m", found)
+    rows = whole.withColumn("__m", found)
     rows = rows.withColumn("__gaps", F.when(F.size("__m") > 0, F.split(text, ANY, -1)))
-    known = F.transform("__m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    rows = rows.withColumn("__k", known).withColumn("__new", F.transform("__k", lambda x: F.when(x["k"].isNotNull(), pseudonym(x["m"], x["k"], key, back)).otherwise(x["m"])))
+    known = F.transform("__m", lambda m: F.struct(m.alias("m"), kind_of(m, month_first).alias("k")))
+    rows = rows.withColumn("__k", known).withColumn("__new", F.transform("__k", lambda x: F.when(x["k"].isNotNull(), pseudonym(x["m"], x["k"], key, back, month_first)).otherwise(x["m"])))
     joined = F.array_join(F.zip_with("__gaps", "__new", lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     lengths = F.zip_with("__gaps", "__new", lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(F.coalesce(m, F.lit(""))).alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
@@ -240,6 +296,6 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", back: boo
         F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out")))["out"]
     spans = F.filter(F.zip_with("__k", places, lambda k, p: F.struct(k["k"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"))), lambda s: s["kind"].isNotNull())
     spans = F.coalesce(spans, F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    rows = rows.withColumn("__spans", spans).withColumn(text_col, F.when(F.size("__m") > 0, joined).otherwise(text))
+    new = F.when(F.size("__m") > 0, joined).otherwise(text)
     rest = [c for c in docs.columns if c != "pii"]
-    return rows.select(*[F.col(f"`{c}`") for c in rest], F.col("__spans").alias("pii"))
+    return rows.select(*[(new if c == text_col else F.col("__row")[c]).alias(c) for c in rest], spans.alias("pii"))

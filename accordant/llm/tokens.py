@@ -116,7 +116,7 @@ class WordLevel:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.words = _Kept(self._word, words)
         self.parts = _Kept(self._part, parts)
@@ -130,7 +130,7 @@ class WordLevel:
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
-        if _BEYOND_LATIN.search(text) or self.added.search(text):
+        if any(a in text for a in self.added) or _BEYOND_LATIN.search(text):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.parts.__getitem__, text.split(" ")))
 

@@ -111,7 +111,7 @@ class WordLevel:
     the library's model; any other text, and one that holds an added token, goes to the library whole.
     """
 
-    def __init__(self, path: str, parts: int = 100_000, words: int = 400_000):
+    def __init__(self, path: str, parts: int = 400_000, words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -3,10 +3,11 @@
 Every line is read whole, as the shingles of ``width`` characters that begin at each of its characters.
 MinHash values over the shingles are banded for high recall; lines that share a band bucket are
 compared with the bucket's centre by the exact Jaccard similarity of their sets.  Sizes of the sets, exactly, and one byte
-of each minimum, by a bound of several standard errors, first rule out pairs that cannot reach the threshold.  Distributed
-union-find joins the links.  A bucket whose lines then hang together is done; any other one meets
-several leaders, then four times as many, and so on until all hang together or all have met.
-One line of each component stays.
+of each minimum, by a bound of several standard errors, are conditions of the join that would make the pair, so that
+pairs which cannot reach the threshold are never written or moved.  Distributed
+union-find joins the links.  A bucket whose lines then hang together is done; in any other one, lines outside
+of its largest group meet all others as leaders, up to 64 of them, then sixteen times as many, and so on until
+all hang together or all have met.  One line of each component stays.
 
 Bounds: copies of a line are one row after the first, map-side combined, aggregate.  A bucket is
 never gathered: leaders are drawn by hash and joined, so a round makes a few pairs per member, and
@@ -109,8 +110,13 @@ def may_reach(percent: int, errors: float = 3.5) -> Column:
     return (100 * small >= percent * F.greatest("n", "m")) & (agreeing("x", "y") >= F.floor(CLASSES * MINIMA * (t - margin)))
 
 
-def bands(lines: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
-    """(key, bands, sketch): one hash per band of MinHash values of each distinct line, and a byte of each value.
+def minima_names(places: list[list[tuple[int, int]]]) -> list[str]:
+    """The columns of the minima that bands use."""
+    return [f"m{c}_{k}" for c, k in sorted({p for band in places for p in band})]
+
+
+def minima(lines: DataFrame, *, width: int, places: list[list[tuple[int, int]]]) -> DataFrame:
+    """(key, minima): the MinHash values of each distinct line.
 
     Shingles are unfolded inside generated code and the aggregate takes the minima as they come.
     A shingle falls into one of ``CLASSES`` classes by its hash and counts for that class's minima
@@ -123,11 +129,13 @@ def bands(lines: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
     once = lines.groupBy("key").agg(F.min("line").alias("line")).select("key", signs_of(F.col("line")).alias("u"))
     each = once.select("key", "u", F.explode(_starts(F.col("u"), width)).alias("i")).select("key", F.hash(_shingle(F.col("u"), F.col("i"), width)).alias("h"))
     least = each.groupBy("key", F.col("h").bitwiseAND(CLASSES - 1).alias("c")).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
-    places = band_places(bands, rows)
     used = sorted({p for band in places for p in band})
-    whole = least.groupBy("key").agg(*[F.min(F.when(F.col("c") == c, F.col(f"m{k}"))).alias(f"m{c}_{k}") for c, k in used])
-    hashes = F.array(*[F.xxhash64(F.lit(b), *[f"m{c}_{k}" for c, k in band]) for b, band in enumerate(places)])
-    return whole.select("key", hashes.alias("bands"), sketch([F.col(f"m{c}_{k}") for c, k in used]).alias("sketch"))
+    return least.groupBy("key").agg(*[F.min(F.when(F.col("c") == c, F.col(f"m{k}"))).alias(f"m{c}_{k}") for c, k in used])
+
+
+def band_hashes(places: list[list[tuple[int, int]]]) -> Column:
+    """One hash per band of the minima it holds."""
+    return F.array(*[F.xxhash64(F.lit(b), *[f"m{c}_{k}" for c, k in band]) for b, band in enumerate(places)])
 
 
 def _slot(key: str | Column) -> Column:
@@ -140,44 +148,57 @@ def only_near(df: DataFrame, keys: DataFrame, column: str = "key") -> DataFrame:
     return df.join(F.broadcast(slots), _slot(column) == F.col("slot"), "left_semi")
 
 
-def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: int, leaders: int = 4) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
+    """The pairs whose sets, built where the lines meet, share at least ``percent`` percent of their union."""
+    # A line is far smaller than its set, so lines travel.
+    left, right = texts.select("key", "line"), texts.select(F.col("key").alias("lead"), F.col("line").alias("other"))
+    lines = pairs.join(left, "key").join(right, "lead")
+    sets = lines.select("key", "lead", F.array(F.struct(shingle_set(F.col("line"), width).alias("s"), shingle_set(F.col("other"), width).alias("t"))).alias("sets"))
+    sizes = F.transform("sets", lambda x: F.struct(F.size(F.array_intersect(x["s"], x["t"])).alias("both"), (F.size(x["s"]) + F.size(x["t"])).alias("sum")))[0]
+    near = 100 * F.col("z.both") >= percent * (F.col("z.sum") - F.col("z.both"))
+    return sets.select("key", "lead", sizes.alias("z")).filter(near).select("key", "lead")
+
+
+def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: int, leaders: int = 64) -> DataFrame:
     """(a, b) keys of lines whose sets share at least ``percent`` percent of their union."""
-    signed = stored(bands(lines, width=width, bands=n_bands, rows=n_rows), "line-bands")
-    members = signed.select("key", F.explode("bands").alias("bucket"))
-    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-buckets")
-    pending = stored(only_near(members, shared, "bucket").join(shared, "bucket").select("bucket", "key", "n"), "line-members")
+    places = band_places(n_bands, n_rows)
+    signed = stored(minima(lines, width=width, places=places), "line-minima")
+    members = signed.select("key", F.explode(band_hashes(places)).alias("bucket"))
+    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "line-buckets")
+    pending = stored(only_near(members, shared, "bucket").join(shared, "bucket").select("bucket", "key", "size"), "line-members")
     # A line that meets many others is the best centre of its buckets.
-    degree = stored(pending.groupBy("key").agg(F.sum("n").alias("degree")), "line-degrees")
+    degree = stored(pending.groupBy("key").agg(F.sum("size").alias("degree")), "line-degrees")
     wanted = degree.select("key")
     texts = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
-    signs = signed.select("key", "sketch").join(wanted.hint("shuffle_hash"), "key")
-    texts = texts.select("key", "line", F.size(shingle_set(F.col("line"), width)).alias("n")).join(signs, "key")
-    texts = stored(texts.select("key", "line", "n", F.col("sketch").alias("x")), "line-texts")
-    # A line is far smaller than its set, so lines travel and sets are made where they meet.
-    left, right = texts, texts.select(F.col("key").alias("lead"), F.col("line").alias("other"), F.col("n").alias("m"), F.col("x").alias("y"))
-    centre = pending.join(degree, "key").groupBy("bucket").agg(F.max_by("key", F.col("degree") * SLOTS + _slot("key")).alias("lead"))
-    pending = stored(pending.withColumn("root", F.col("key")).join(centre.withColumnRenamed("lead", "centre"), "bucket"), "line-members")
+    texts = stored(texts.select("key", "line", F.size(shingle_set(F.col("line"), width)).alias("n")), "line-texts")
+    # Size, sketch and degree of a line go along with its places, so that a pair is ruled out where it would be made.
+    traits = signed.select("key", sketch([F.col(m) for m in minima_names(places)]).alias("x")).join(texts.select("key", "n"), "key").join(degree, "key")
+    pending = stored(pending.join(traits, "key").withColumn("root", F.col("key")), "line-members")
+    centre = pending.groupBy(*rejoin_keys("bucket")).agg(F.max_by("key", F.col("degree") * SLOTS + _slot("key")).alias("centre")).drop("__spread")
+    drawn = pending.join(centre, "bucket").filter("key = centre")
     found, count = None, 0
     while True:
-        drawn = pending.filter((F.pmod(F.xxhash64("key", "bucket"), F.col("n")) < count) | (F.col("key") == F.col("centre")))
-        drawn = drawn.select("bucket", F.col("key").alias("lead"), F.col("root").alias("lead_root"))
-        # Lines that hang together already need not meet again.
-        met = pending.join(drawn, "bucket").filter("key != lead and root != lead_root")
+        lead = drawn.select(F.col("bucket").alias("at"), F.col("key").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("m"), F.col("x").alias("y"))
+        # Lines that hang together already need not meet again; what may not reach the threshold never leaves the join.
+        met = pending.join(lead, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("lead_root")) & may_reach(percent))
         pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
-        likely = pairs.join(left, "key").join(right, "lead").filter(may_reach(percent))
-        sets = likely.select("key", "lead", F.array(F.struct(shingle_set(F.col("line"), width).alias("s"), shingle_set(F.col("other"), width).alias("t"))).alias("sets"))
-        sizes = F.transform("sets", lambda x: F.struct(F.size(F.array_intersect(x["s"], x["t"])).alias("both"), (F.size(x["s"]) + F.size(x["t"])).alias("sum")))[0]
-        near = 100 * F.col("z.both") >= percent * (F.col("z.sum") - F.col("z.both"))
-        taken = stored(sets.select("key", "lead", sizes.alias("z")).filter(near).select("key", "lead"), "line-links")
+        taken = stored(similar(pairs, texts, width=width, percent=percent), "line-links")
         found = taken if found is None else found.unionByName(taken)
-        # A bucket that hangs together has no link left that would matter; one smaller than the leaders is done.
+        if count:
+            pending = pending.filter(F.col("outside") > count).drop("most", "outside")
+        else:
+            pending = pending.filter("size > 2").drop("degree")
+        # A bucket that hangs together has no link left that would matter.  In any other one, lines outside of the largest
+        # group are the next leaders; once all of them have met the others, every pair has met or hangs together.
         parts = components(found, "key", "lead").withColumnRenamed("node", "key")
-        placed = pending.filter(F.col("n") > max(count, 2)).drop("root").join(parts, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
-        pending = stored(placed.join(apart, "bucket", "left_semi"), "line-members")
+        placed = stored(pending.drop("root").join(parts, "key", "left").withColumn("root", F.coalesce("root", "key")), "line-members")
+        groups = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"))
+        apart = groups.groupBy(*rejoin_keys("bucket")).agg(F.max_by("root", "rows").alias("most"), (F.sum("rows") - F.max("rows")).alias("outside")).drop("__spread")
+        pending = stored(placed.join(apart.filter("outside > 0"), "bucket"), "line-members")
         if pending.isEmpty():
             return found.select(F.col("key").alias("a"), F.col("lead").alias("b"))
-        count = max(leaders, 4 * count)
+        count = max(leaders, 16 * count)
+        drawn = pending.filter((F.col("root") != F.col("most")) & (F.pmod(F.xxhash64("key", "bucket"), F.col("outside")) < count))
 
 
 def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_bands: int = 20, n_rows: int = 5,

@@ -434,6 +434,23 @@ def test_line_links_against_all_pairs_of_the_table(spark):
     assert len(missed) <= 0.01 * len(pairs), (len(missed), len(pairs))
 
 
+def test_lines_of_one_bucket_in_several_groups_meet_over_rounds(spark):
+    """Pairs of near copies that share most of a long beginning with all others: buckets that never hang together."""
+    rng, lines = random.Random(31), []
+    head = "".join(rng.choices("abcdefghijklmnop ", k=200))
+    for _ in range(30):
+        line = head + "".join(rng.choices("abcdefghijklmnop ", k=70))
+        lines += [line, line[:-1] + "#"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "key long, line string")
+    found = line_dedup.links(df, width=5, n_bands=20, n_rows=5, percent=80, leaders=1)
+    root = {r.node: r.root for r in graph.components(found, "a", "b").collect()}
+    groups = collections.defaultdict(set)
+    for i in range(len(lines)):
+        groups[root.get(i, i)].add(i)
+    assert {frozenset(g) for g in groups.values()} == want_groups(lines, 5)
+    assert sorted(len(g) for g in groups.values()) == [2] * 30
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     line = "a line that is long enough to be judged"
     df = spark.createDataFrame([(1, line, "h1", "i1", "d1", 5), (2, "x\n" + line, "h2", "i2", "d2", None)], "doc_id long, text string, __h string, __id string, __drop string, __row int")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from accordant.functions import responses, text as T
 from accordant.operators.consensus import repetition_consensus
 from accordant.sources.keyed import KeyedTable
+from accordant.sources.workspace import stored
 
 Annotator = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -69,7 +70,11 @@ def call(reqs: DataFrame, annotator: Annotator, parallelism: int | None = None,
     failing batch is retried row by row; a failing row yields its error text.
     """
     sent = reqs.select("cache_key", F.col("annotator").alias("model"), "rep", "params", F.col(prompt).alias("prompt"))
-    spread = sent.repartition(parallelism, "cache_key") if parallelism else sent.repartition("cache_key")
+    return _answered(sent.repartition(parallelism, "cache_key") if parallelism else sent.repartition("cache_key"), annotator)
+
+
+def _answered(spread: DataFrame, annotator: Annotator) -> DataFrame:
+    """The annotator's responses to requests where they lie."""
 
     def run(batches):
         import time
@@ -133,25 +138,43 @@ def cache_statistics(reqs: DataFrame, cache: str) -> DataFrame:
             .withColumn("stored", held.agg(F.count(F.lit(1))).scalar()))
 
 
+def _with_prompts(misses: DataFrame, keyed: DataFrame, parallelism: int | None) -> DataFrame:
+    """Requests with their prompts, spread by text: a prompt is moved once for all calls of its text.
+
+    It comes from the row of one (annotator, repetition); requests of texts without such a row are left out.
+    """
+    one = misses.select(F.min(F.struct("annotator", "rep", "params"))).first()[0]
+    first = F.lit(False) if one is None else (
+        F.col("annotator").eqNullSafe(one["annotator"]) & F.col("rep").eqNullSafe(one["rep"]) & F.col("params").eqNullSafe(one["params"]))
+    prompts = keyed.filter(first).groupBy("text_md5").agg(F.any_value("prompt").alias("prompt"))
+    if parallelism:
+        misses, prompts = misses.repartition(parallelism, "text_md5"), prompts.repartition(parallelism, "text_md5")
+    return misses.join(prompts, "text_md5").select("cache_key", F.col("annotator").alias("model"), "rep", "params", "prompt")
+
+
 def call_with_cache(reqs: DataFrame, annotator: Annotator, cache: str,
                     parallelism: int | None = None) -> DataFrame:
     """Every request with its response; only keys absent from the store are called.
 
     Copies of a text share one key and one call.  Of the store only the key prefixes that the requests hold are
-    read, and only their keys.  New responses are written once, as the store's next part; failures are no answers, go
+    read, and only their keys.  Keys are moved without prompts, and a prompt once for all its calls.  New responses are written once, as the store's next part; failures are no answers, go
     to the log beside it too, and a request whose call failed now returns with its error.
     """
     spark = reqs.sparkSession
     store = response_store(spark, cache)
     seen = store.version()
-    once = reqs.groupBy("cache_key").agg(*[
-        F.any_value(c).alias(c) for c in ("annotator", "rep", "params", "prompt")])
+    keyed = reqs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
+    misses = keyed.groupBy("cache_key").agg(*[F.any_value(c).alias(c) for c in ("annotator", "rep", "params", "text_md5")])
+    prefixes = None
     if seen.parts:
         prefixes = store.wanted_prefixes(reqs)
-        misses = once.join(store.rows(seen, prefixes).select("cache_key"), "cache_key", "left_anti")
-    else:
-        prefixes, misses = None, once
-    part = store.write(call(misses, annotator, parallelism))
+        misses = misses.join(store.rows(seen, prefixes).select("cache_key"), "cache_key", "left_anti")
+    misses = stored(misses, "misses")
+    part = store.write(_answered(_with_prompts(misses, keyed, parallelism), annotator))
+    if store.part(part).count() < misses.count():  # texts of which the first call was not requested
+        rest = misses.join(store.part(part).select("cache_key"), "cache_key", "left_anti")
+        prompts = keyed.groupBy("cache_key").agg(F.any_value("prompt").alias("prompt"))
+        part = store.write(store.part(part).drop("written_at").unionByName(call(rest.join(prompts, "cache_key"), annotator, parallelism)))
     failed = store.part(part).filter("error IS NOT NULL")
     if not failed.isEmpty():
         log = failure_log(spark, cache)

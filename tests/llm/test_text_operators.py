@@ -502,3 +502,16 @@ def test_markov_spans_against_plain_sums(spark):
     assert all(masked[i] == t for i, t in enumerate(texts[:60]))
     assert all(masked[i] == "say [SECRET] now" for i in range(60, 68))
     assert masked[68] == "x [SECRET] y" and masked[69] == "[SECRET] [SECRET]"
+
+def test_components_stop_as_soon_as_they_are_stars(spark, monkeypatch):
+    """Stars of least nodes need no round, a star around its largest node one; loops and nulls stay as stated."""
+    names, real = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: (names.append(name), real(df, name))[1])
+
+    def run(edges):
+        names.clear()
+        df = spark.createDataFrame(edges, "a long, b long")
+        return {r.node: r.root for r in graph.components(df).collect()}
+
+    assert run([(5, 1), (1, 6), (7, 2), (9, 9), (None, 3)]) == {1: 1, 5: 1, 6: 1, 2: 2, 7: 2, 9: 9} and names == ["edges"]
+    assert run([(8, 1), (8, 2), (3, 8)]) == {1: 1, 2: 1, 3: 1, 8: 1} and names == ["edges", "stars", "edges"]

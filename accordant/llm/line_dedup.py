@@ -2,16 +2,17 @@
 
 Every line is read whole, as the shingles of ``width`` characters that begin at each of its characters.
 MinHash values over the shingles are banded for high recall; lines that share a band bucket are
-compared with the bucket's centre by the exact Jaccard similarity of their sets.  Sizes of the sets, exactly, and one byte
-of each minimum, by a bound of several standard errors, are conditions of the join that would make the pair, so that
-pairs which cannot reach the threshold are never written or moved.  Distributed
+compared with the bucket's centre by the exact Jaccard similarity of their sets.  One byte
+of each minimum, by a bound of several standard errors, is a condition of the join that would make the pair, so that
+pairs which cannot reach the threshold are hardly written or moved.  Distributed
 union-find joins the links.  A bucket whose lines then hang together is done; in any other one, lines outside
 of its largest group meet all others as leaders, up to 64 of them, then sixteen times as many, and so on until
-all hang together or all have met.  One line of each component stays.
+all hang together or all have met.  There the sets' sizes and a parity sketch, which never rules out a pair that
+reaches the threshold, keep pairs of looser copies from being made.  One line of each component stays.
 
-Bounds: copies of a line are one row after the first, map-side combined, aggregate.  A bucket is
-never gathered: leaders are drawn by hash and joined, so a round makes a few pairs per member, and
-a bucket of near copies settles in the first.  The one broadcast is a set of hash slots of fixed
+Bounds: copies of a line are one row after the first, map-side combined, aggregate.  The keys of a bucket
+are counted in one task, which spills if they are many; texts and pairs of a bucket are never gathered:
+leaders are drawn by hash and joined, so a round makes a few pairs per member.  The one broadcast is a set of hash slots of fixed
 size; it spares moving lines without a partner and may pass too many, never too few.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from accordant.llm.common import whole_text
 from accordant.llm.graph import components
@@ -99,15 +100,45 @@ def agreeing(a: str, b: str, minima: int = CLASSES * MINIMA) -> Column:
     return out
 
 
+def shingles_seen(minima: list[tuple[int, Column]]) -> Column:
+    """How many shingles the minima of a line rest on, less one for missing ones: never more than it has."""
+    masks = _masks()
+    return F.greatest(F.lit(1), F.size(F.array_distinct(F.array(*[m.bitwiseXOR(F.lit(masks[k])) for k, m in minima]))) - 1)
+
+
 def may_reach(percent: int, errors: float = 3.5) -> Column:
-    """Whether sets of ``n`` and ``m`` shingles with sketches ``x`` and ``y`` may be similar enough.
+    """Whether lines with sketches ``x`` and ``y``, resting on ``seen`` and ``met`` shingles, may be similar enough.
+
+    Lines whose minima rest on few shingles are given a wider margin; a pair at the threshold is ruled out with odds
+    of some 1 in 4,000.
+    """
+    t = percent / 100
+    margin = errors * F.sqrt(t * (1 - t) / F.least(F.lit(CLASSES * MINIMA), "seen", "met"))
+    return agreeing("x", "y") >= F.floor(CLASSES * MINIMA * (t - margin))
+
+
+#: Longs of a parity sketch.
+PARITY = 16
+
+
+def parities(texts: DataFrame, width: int) -> DataFrame:
+    """(key, n, o): the size of each line's set, and for each of 64 ``PARITY`` bits whether an odd number of its shingles fall on it."""
+    each = texts.select("key", F.explode(shingle_set(F.col("line"), width)).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 16) & 63 AS int))")
+    words = each.groupBy("key", F.col("h").bitwiseAND(PARITY - 1).alias("w")).agg(F.bit_xor(bit).alias("bits"), F.count(F.lit(1)).alias("c"))
+    longs = [F.coalesce(F.bit_xor(F.when(F.col("w") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"p{k}") for k in range(PARITY)]
+    flat = words.groupBy("key").agg(F.sum("c").alias("n"), *longs)
+    return flat.select("key", "n", F.struct(*[f"p{k}" for k in range(PARITY)]).alias("o"))
 
-    Sizes decide exactly.  Minima rest on as many shingles at most as the smaller set has, so that short lines are
-    given a wider margin; a pair at the threshold is ruled out with odds of some 1 in 4,000.
+
+def can_reach(percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles with parity sketches ``o`` and ``q`` can be similar enough.
+
+    Each shingle that only one of them has changes one bit, so differing bits are at most as many as such shingles:
+    what is ruled out is below the threshold for certain.
     """
-    t, small = percent / 100, F.least("n", "m")
-    margin = errors * F.sqrt(t * (1 - t) / F.least(F.lit(CLASSES * MINIMA), small))
-    return (100 * small >= percent * F.greatest("n", "m")) & (agreeing("x", "y") >= F.floor(CLASSES * MINIMA * (t - margin)))
+    bits = sum((F.bit_count(F.col(f"o.p{k}").bitwiseXOR(F.col(f"q.p{k}"))) for k in range(PARITY)), F.lit(0))
+    return (100 + percent) * F.greatest(bits, F.abs(F.col("n") - F.col("m"))) <= (100 - percent) * (F.col("n") + F.col("m"))
 
 
 def minima_names(places: list[list[tuple[int, int]]]) -> list[str]:
@@ -115,6 +146,12 @@ def minima_names(places: list[list[tuple[int, int]]]) -> list[str]:
     return [f"m{c}_{k}" for c, k in sorted({p for band in places for p in band})]
 
 
+def _masks() -> list[int]:
+    """What each minimum's hash function XORs the first one with."""
+    rng = random.Random(1)
+    return [((k << 28) | rng.getrandbits(28)) - (1 << 31) for k in rng.sample(range(16), MINIMA)]
+
+
 def minima(lines: DataFrame, *, width: int, places: list[list[tuple[int, int]]]) -> DataFrame:
     """(key, minima): the MinHash values of each distinct line.
 
@@ -123,12 +160,10 @@ def minima(lines: DataFrame, *, width: int, places: list[list[tuple[int, int]]])
     only, which saves most of the work; a band takes its values from different classes.  A further hash
     function is the first one XORed with a constant, whose first bits differ within a class.
     """
-    rng = random.Random(1)
-    masks = [((k << 28) | rng.getrandbits(28)) - (1 << 31) for k in rng.sample(range(16), MINIMA)]
     # Copies are combined first; what follows needs no further exchange.
     once = lines.groupBy("key").agg(F.min("line").alias("line")).select("key", signs_of(F.col("line")).alias("u"))
     each = once.select("key", "u", F.explode(_starts(F.col("u"), width)).alias("i")).select("key", F.hash(_shingle(F.col("u"), F.col("i"), width)).alias("h"))
-    least = each.groupBy("key", F.col("h").bitwiseAND(CLASSES - 1).alias("c")).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
+    least = each.groupBy("key", F.col("h").bitwiseAND(CLASSES - 1).alias("c")).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())])
     used = sorted({p for band in places for p in band})
     return least.groupBy("key").agg(*[F.min(F.when(F.col("c") == c, F.col(f"m{k}"))).alias(f"m{c}_{k}") for c, k in used])
 
@@ -163,38 +198,47 @@ def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: i
     """(a, b) keys of lines whose sets share at least ``percent`` percent of their union."""
     places = band_places(n_bands, n_rows)
     signed = stored(minima(lines, width=width, places=places), "line-minima")
+    # One exchange finds the lines that share a bucket; of a bucket only keys are sorted, and spilled if they are many.
     members = signed.select("key", F.explode(band_hashes(places)).alias("bucket"))
-    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "line-buckets")
-    pending = stored(only_near(members, shared, "bucket").join(shared, "bucket").select("bucket", "key", "size"), "line-members")
+    pending = stored(members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1"), "line-members")
     # A line that meets many others is the best centre of its buckets.
     degree = stored(pending.groupBy("key").agg(F.sum("size").alias("degree")), "line-degrees")
     wanted = degree.select("key")
     texts = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
-    texts = stored(texts.select("key", "line", F.size(shingle_set(F.col("line"), width)).alias("n")), "line-texts")
-    # Size, sketch and degree of a line go along with its places, so that a pair is ruled out where it would be made.
-    traits = signed.select("key", sketch([F.col(m) for m in minima_names(places)]).alias("x")).join(texts.select("key", "n"), "key").join(degree, "key")
+    texts = stored(texts.select("key", "line"), "line-texts")
+    # Sketch and degree of a line go along with its places, so that a pair is ruled out where it would be made.
+    names = minima_names(places)
+    seen = shingles_seen([(int(m.split("_")[1]), F.col(m)) for m in names])
+    traits = signed.select("key", sketch([F.col(m) for m in names]).alias("x"), seen.alias("seen")).join(degree, "key")
     pending = stored(pending.join(traits, "key").withColumn("root", F.col("key")), "line-members")
     centre = pending.groupBy(*rejoin_keys("bucket")).agg(F.max_by("key", F.col("degree") * SLOTS + _slot("key")).alias("centre")).drop("__spread")
-    drawn = pending.join(centre, "bucket").filter("key = centre")
+    drawn, pending = pending.join(centre, "bucket").filter("key = centre"), pending.drop("degree")
     found, count = None, 0
     while True:
-        lead = drawn.select(F.col("bucket").alias("at"), F.col("key").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("m"), F.col("x").alias("y"))
+        lead = drawn.select(F.col("bucket").alias("at"), F.col("key").alias("lead"), F.col("root").alias("lead_root"), F.col("x").alias("y"), F.col("seen").alias("met"),
+                            *([F.col("n").alias("m"), F.col("o").alias("q")] if count else []))
         # Lines that hang together already need not meet again; what may not reach the threshold never leaves the join.
-        met = pending.join(lead, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("lead_root")) & may_reach(percent))
+        near = may_reach(percent) & can_reach(percent) if count else may_reach(percent)
+        met = pending.join(lead, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("lead_root")) & near)
         pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
         taken = stored(similar(pairs, texts, width=width, percent=percent), "line-links")
         found = taken if found is None else found.unionByName(taken)
-        if count:
-            pending = pending.filter(F.col("outside") > count).drop("most", "outside")
-        else:
-            pending = pending.filter("size > 2").drop("degree")
+        pending = pending.filter(F.col("outside") > count).drop("most", "outside") if count else pending.filter("size > 2")
+        if pending.isEmpty():
+            return found.select(F.col("key").alias("a"), F.col("lead").alias("b"))
         # A bucket that hangs together has no link left that would matter.  In any other one, lines outside of the largest
         # group are the next leaders; once all of them have met the others, every pair has met or hangs together.
         parts = components(found, "key", "lead").withColumnRenamed("node", "key")
         placed = stored(pending.drop("root").join(parts, "key", "left").withColumn("root", F.coalesce("root", "key")), "line-members")
         groups = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"))
         apart = groups.groupBy(*rejoin_keys("bucket")).agg(F.max_by("root", "rows").alias("most"), (F.sum("rows") - F.max("rows")).alias("outside")).drop("__spread")
-        pending = stored(placed.join(apart.filter("outside > 0"), "bucket"), "line-members")
+        pending = placed.join(apart.filter("outside > 0"), "bucket")
+        if not count:
+            # Only lines of such buckets get the larger sketch that rules pairs out for certain.
+            pending = stored(pending, "line-members")
+            exact = parities(texts.join(pending.select("key").distinct(), "key", "left_semi"), width)
+            pending = pending.join(exact, "key")
+        pending = stored(pending, "line-members")
         if pending.isEmpty():
             return found.select(F.col("key").alias("a"), F.col("lead").alias("b"))
         count = max(leaders, 16 * count)

@@ -515,3 +515,35 @@ def test_components_stop_as_soon_as_they_are_stars(spark, monkeypatch):
 
     assert run([(5, 1), (1, 6), (7, 2), (9, 9), (None, 3)]) == {1: 1, 5: 1, 6: 1, 2: 2, 7: 2, 9: 9} and names == ["edges"]
     assert run([(8, 1), (8, 2), (3, 8)]) == {1: 1, 2: 1, 3: 1, 8: 1} and names == ["edges", "stars", "edges"]
+
+
+def test_parity_sketches_never_rule_out_a_pair_that_reaches_the_threshold(spark):
+    """Pairs around the threshold and looser ones: all that reach it stay, most of the others go."""
+    rng, rows = random.Random(41), []
+    for _ in range(150):
+        line = "".join(rng.choices("abcdefghijklmnop ", k=rng.randrange(20, 600)))
+        other = "".join("#" if rng.random() < rng.choice([0, 0.01, 0.03, 0.06]) else c for c in line)
+        rows += [(len(rows), line), (len(rows) + 1, other)]
+    sets = [every_shingle(x, 5) for _, x in rows]
+    got = line_dedup.parities(spark.createDataFrame(rows, "key long, line string"), 5)
+    assert {r.key: r.n for r in got.collect()} == {k: len(s) for k, s in enumerate(sets)}
+    left, right = got.filter("key % 2 = 0"), got.filter("key % 2 = 1").selectExpr("key - 1 AS key", "n AS m", "o AS q")
+    stays = {r.key for r in left.join(right, "key").filter(line_dedup.can_reach(80)).collect()}
+    near = {k for k in range(0, len(rows), 2) if 100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1])}
+    assert near <= stays and len(near) > 20 and len(stays - near) < 0.3 * (len(rows) // 2 - len(near))
+
+
+def test_loose_copies_of_one_line_make_few_pairs(spark, monkeypatch):
+    """Copies with so many changes that few reach the threshold share buckets, but are not compared one by one."""
+    rng, pairs, real = random.Random(43), [], line_dedup.stored
+    base = "".join(rng.choices("abcdefghijklmnop ", k=400))
+    lines = ["".join("#" if rng.random() < 0.03 else c for c in base) for _ in range(150)]
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: (out := real(df, name), pairs.append(out.count()) if name == "line-pairs" else 0)[0])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "key long, line string")
+    found = line_dedup.links(df, width=5, n_bands=20, n_rows=5, percent=80)
+    root = {r.node: r.root for r in graph.components(found, "a", "b").collect()}
+    groups = collections.defaultdict(set)
+    for i in range(len(lines)):
+        groups[root.get(i, i)].add(i)
+    assert {frozenset(g) for g in groups.values()} == want_groups(lines, 5)
+    assert sum(pairs[1:]) < len(lines), pairs  # the first round is one centre to a bucket

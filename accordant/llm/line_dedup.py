@@ -19,6 +19,7 @@ size; it spares moving lines without a partner and may pass too many, never too
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -39,21 +40,33 @@ def signs_of(line: Column) -> Column:
 
 
 def _starts(signs: Column, width: int) -> Column:
-    """Where shingles begin, from 0; a line shorter than ``width`` is one shingle."""
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.shiftright(F.octet_length(signs), 2) - width))
+    """The bytes at which shingles begin, from 1; a line shorter than ``width`` is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(signs) - (4 * width - 1)), F.lit(4))
 
 
-def _shingle(signs: Column, i: Column, width: int) -> Column:
-    return F.substring(signs, 4 * i + 1, F.lit(4 * width))
+def _shingle(signs: Column, at: Column, width: int) -> Column:
+    return F.substring(signs, at, F.lit(4 * width))
 
 
 def shingle_set(line: Column, width: int) -> Column:
     """The distinct shingles of a line, hashed to 64 bits.
 
-    The signs are an outer lambda's variable, so the line is encoded once and not per shingle.
+    The signs are an outer lambda's variable, so the line is encoded once and not per shingle.  Lambdas are interpreted,
+    so copies are left out outside of them, in generated code.
     """
-    one = lambda u: F.array_distinct(F.transform(_starts(u, width), lambda i: F.xxhash64(_shingle(u, i, width))))
-    return F.transform(F.array(signs_of(line)), one)[0]
+    each = lambda u: F.transform(_starts(u, width), lambda at: F.xxhash64(_shingle(u, at, width)))
+    return F.array_distinct(F.transform(F.array(signs_of(line)), each)[0])
+
+
+def once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """The columns ``keep`` and new ones, which are computed once a row.
+
+    The planner would write a costly expression out in every filter over it, those that it adds by itself included;
+    it does not move filters below the explode of one struct.  They are made before it, in generated code.
+    """
+    made = df.select(*keep, *[c.alias(k) for k, c in columns.items()])
+    made = made.select(*keep, F.explode(F.array(F.struct(*columns))).alias("__made"))
+    return made.select(*keep, *[F.col(f"__made.{k}").alias(k) for k in columns])
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -85,9 +98,11 @@ _LOW7, _HIGH = int("7f" * _PER_LONG, 16), int("80" * _PER_LONG, 16)
 
 def sketch(minima: list[Column]) -> Column:
     """One byte of each minimum, seven to a long; a missing minimum is 0."""
-    byte = [F.coalesce(F.shiftright(m, 8).bitwiseAND(255).cast("long"), F.lit(0).cast("long")) for m in minima]
+    # As few operations as will do: the compiler leaves methods beyond 8,000 bytes to be interpreted.
+    byte = [F.coalesce(m, F.lit(0)).bitwiseAND(0xFF00).cast("long") for m in minima]
     longs = [byte[i : i + _PER_LONG] for i in range(0, len(byte), _PER_LONG)]
-    return F.struct(*[sum((F.shiftleft(b, 8 * i) for i, b in enumerate(part)), F.lit(0).cast("long")).alias(f"s{k}") for k, part in enumerate(longs)])
+    placed = lambda part: [F.shiftright(part[0], 8), *[F.shiftleft(b, 8 * i) if i else b for i, b in enumerate(part[1:])]]
+    return F.struct(*[reduce(Column.bitwiseOR, placed(part)).alias(f"s{k}") for k, part in enumerate(longs)])
 
 
 def agreeing(a: str, b: str, minima: int = CLASSES * MINIMA) -> Column:
@@ -100,12 +115,6 @@ def agreeing(a: str, b: str, minima: int = CLASSES * MINIMA) -> Column:
     return out
 
 
-def shingles_seen(minima: list[tuple[int, Column]]) -> Column:
-    """How many shingles the minima of a line rest on, less one for missing ones: never more than it has."""
-    masks = _masks()
-    return F.greatest(F.lit(1), F.size(F.array_distinct(F.array(*[m.bitwiseXOR(F.lit(masks[k])) for k, m in minima]))) - 1)
-
-
 def may_reach(percent: int, errors: float = 3.5) -> Column:
     """Whether lines with sketches ``x`` and ``y``, resting on ``seen`` and ``met`` shingles, may be similar enough.
 
@@ -123,7 +132,7 @@ PARITY = 16
 
 def parities(texts: DataFrame, width: int) -> DataFrame:
     """(key, n, o): the size of each line's set, and for each of 64 ``PARITY`` bits whether an odd number of its shingles fall on it."""
-    each = texts.select("key", F.explode(shingle_set(F.col("line"), width)).alias("h"))
+    each = once(texts, "key", s=shingle_set(F.col("line"), width)).select("key", F.explode("s").alias("h"))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 16) & 63 AS int))")
     words = each.groupBy("key", F.col("h").bitwiseAND(PARITY - 1).alias("w")).agg(F.bit_xor(bit).alias("bits"), F.count(F.lit(1)).alias("c"))
     longs = [F.coalesce(F.bit_xor(F.when(F.col("w") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"p{k}") for k in range(PARITY)]
@@ -152,8 +161,14 @@ def _masks() -> list[int]:
     return [((k << 28) | rng.getrandbits(28)) - (1 << 31) for k in rng.sample(range(16), MINIMA)]
 
 
+def unfolded(lines: DataFrame, width: int) -> DataFrame:
+    """(key, h): a hash of every shingle of the lines."""
+    each = lines.select("key", signs_of(F.col("line")).alias("u")).select("key", "u", F.explode(_starts(F.col("u"), width)).alias("at"))
+    return each.select("key", F.hash(_shingle(F.col("u"), F.col("at"), width)).alias("h"))
+
+
 def minima(lines: DataFrame, *, width: int, places: list[list[tuple[int, int]]]) -> DataFrame:
-    """(key, minima): the MinHash values of each distinct line.
+    """(key, minima, seen): the MinHash values of each distinct line, and on how many shingles those of all classes rest.
 
     Shingles are unfolded inside generated code and the aggregate takes the minima as they come.
     A shingle falls into one of ``CLASSES`` classes by its hash and counts for that class's minima
@@ -161,11 +176,13 @@ def minima(lines: DataFrame, *, width: int, places: list[list[tuple[int, int]]])
     function is the first one XORed with a constant, whose first bits differ within a class.
     """
     # Copies are combined first; what follows needs no further exchange.
-    once = lines.groupBy("key").agg(F.min("line").alias("line")).select("key", signs_of(F.col("line")).alias("u"))
-    each = once.select("key", "u", F.explode(_starts(F.col("u"), width)).alias("i")).select("key", F.hash(_shingle(F.col("u"), F.col("i"), width)).alias("h"))
-    least = each.groupBy("key", F.col("h").bitwiseAND(CLASSES - 1).alias("c")).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())])
+    each = unfolded(lines.groupBy("key").agg(F.min("line").alias("line")), width)
+    masks = _masks()
+    least = each.groupBy("key", F.col("h").bitwiseAND(CLASSES - 1).alias("c")).agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks)])
+    # Classes have no hash in common, so their shingles add up.
+    least = least.withColumn("seen", F.size(F.array_distinct(F.array(*[F.col(f"m{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(masks)]))))
     used = sorted({p for band in places for p in band})
-    return least.groupBy("key").agg(*[F.min(F.when(F.col("c") == c, F.col(f"m{k}"))).alias(f"m{c}_{k}") for c, k in used])
+    return least.groupBy("key").agg(*[F.min(F.when(F.col("c") == c, F.col(f"m{k}"))).alias(f"m{c}_{k}") for c, k in used], F.sum("seen").cast("int").alias("seen"))
 
 
 def band_hashes(places: list[list[tuple[int, int]]]) -> Column:
@@ -188,10 +205,9 @@ def similar(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) ->
     # A line is far smaller than its set, so lines travel.
     left, right = texts.select("key", "line"), texts.select(F.col("key").alias("lead"), F.col("line").alias("other"))
     lines = pairs.join(left, "key").join(right, "lead")
-    sets = lines.select("key", "lead", F.array(F.struct(shingle_set(F.col("line"), width).alias("s"), shingle_set(F.col("other"), width).alias("t"))).alias("sets"))
-    sizes = F.transform("sets", lambda x: F.struct(F.size(F.array_intersect(x["s"], x["t"])).alias("both"), (F.size(x["s"]) + F.size(x["t"])).alias("sum")))[0]
-    near = 100 * F.col("z.both") >= percent * (F.col("z.sum") - F.col("z.both"))
-    return sets.select("key", "lead", sizes.alias("z")).filter(near).select("key", "lead")
+    sets = once(lines, "key", "lead", s=shingle_set(F.col("line"), width), t=shingle_set(F.col("other"), width))
+    sizes = once(sets, "key", "lead", both=F.size(F.array_intersect("s", "t")), sum=F.size("s") + F.size("t"))
+    return sizes.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("key", "lead")
 
 
 def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: int, leaders: int = 64) -> DataFrame:
@@ -203,16 +219,14 @@ def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: i
     pending = stored(members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1"), "line-members")
     # A line that meets many others is the best centre of its buckets.
     degree = stored(pending.groupBy("key").agg(F.sum("size").alias("degree")), "line-degrees")
-    wanted = degree.select("key")
-    texts = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
-    texts = stored(texts.select("key", "line"), "line-texts")
     # Sketch and degree of a line go along with its places, so that a pair is ruled out where it would be made.
     names = minima_names(places)
-    seen = shingles_seen([(int(m.split("_")[1]), F.col(m)) for m in names])
-    traits = signed.select("key", sketch([F.col(m) for m in names]).alias("x"), seen.alias("seen")).join(degree, "key")
+    traits = signed.select("key", sketch([F.col(m) for m in names]).alias("x"), "seen").join(degree, "key")
     pending = stored(pending.join(traits, "key").withColumn("root", F.col("key")), "line-members")
-    centre = pending.groupBy(*rejoin_keys("bucket")).agg(F.max_by("key", F.col("degree") * SLOTS + _slot("key")).alias("centre")).drop("__spread")
-    drawn, pending = pending.join(centre, "bucket").filter("key = centre"), pending.drop("degree")
+    # The centre takes what is compared along, so that members are not moved once more to find its row.
+    centre = F.max_by(F.struct("key", "root", "x", "seen"), F.col("degree") * SLOTS + _slot("key")).alias("centre")
+    drawn = pending.groupBy(*rejoin_keys("bucket")).agg(centre).select("bucket", "centre.*")
+    pending = pending.drop("degree")
     found, count = None, 0
     while True:
         lead = drawn.select(F.col("bucket").alias("at"), F.col("key").alias("lead"), F.col("root").alias("lead_root"), F.col("x").alias("y"), F.col("seen").alias("met"),
@@ -221,7 +235,14 @@ def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: i
         near = may_reach(percent) & can_reach(percent) if count else may_reach(percent)
         met = pending.join(lead, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("lead_root")) & near)
         pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
-        taken = stored(similar(pairs, texts, width=width, percent=percent), "line-links")
+        ends = pairs.select(F.explode(F.array("key", "lead")).alias("key"))
+        if not count:
+            # Texts are moved for lines that were paired or may be, not for all that share a bucket with one other line.
+            wanted = ends.unionByName(pending.filter("size > 2").select("key")).distinct()
+            texts = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
+            texts = stored(texts.select("key", "line"), "line-texts")
+        # Later rounds pair few of the lines, and only texts of about those are moved.
+        taken = stored(similar(pairs, only_near(texts, ends) if count else texts, width=width, percent=percent), "line-links")
         found = taken if found is None else found.unionByName(taken)
         pending = pending.filter(F.col("outside") > count).drop("most", "outside") if count else pending.filter("size > 2")
         if pending.isEmpty():

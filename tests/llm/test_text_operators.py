@@ -547,3 +547,21 @@ def test_loose_copies_of_one_line_make_few_pairs(spark, monkeypatch):
         groups[root.get(i, i)].add(i)
     assert {frozenset(g) for g in groups.values()} == want_groups(lines, 5)
     assert sum(pairs[1:]) < len(lines), pairs  # the first round is one centre to a bucket
+
+
+def test_line_sets_are_built_once_and_sketches_are_compiled(spark):
+    """A set that a filter writes out again is built again; a method beyond 8,000 bytes is interpreted."""
+    df = spark.createDataFrame([(i, f"line number {i} of some that are long enough to be near copies") for i in range(4)], "key long, line string")
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "key long, lead long")
+    near = line_dedup.similar(pairs, df, width=5, percent=80)
+    assert plan(near).count("xxhash64(") == 2 and near.count() == 2
+    assert plan(line_dedup.parities(df, 5)).count("xxhash64(") == 1
+    places = line_dedup.band_places(20, 5)
+    signed = line_dedup.stored(line_dedup.minima(df, width=5, places=places), "line-minima")
+    traits = signed.select("key", line_dedup.sketch([F.col(m) for m in line_dedup.minima_names(places)]).alias("x"), "seen")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(traits._jdf.queryExecution().executedPlan()))
+    assert sizes and max(map(int, sizes)) < 8000
+    # Every minimum rests on a shingle of the line, and long lines have some for most of the 40.
+    assert all(20 < r.seen <= len(every_shingle(f"line number {r.key} of some that are long enough to be near copies", 5)) for r in traits.collect())

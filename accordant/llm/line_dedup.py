@@ -3,8 +3,8 @@
 Every line is read whole, as the shingles of ``width`` characters that begin at each of its characters.
 MinHash values over the shingles are banded for high recall; lines that share a band bucket are
 compared with the bucket's centre by the exact Jaccard similarity of their sets.  One byte
-of each minimum, by a bound of several standard errors, is a condition of the join that would make the pair, so that
-pairs which cannot reach the threshold are hardly written or moved.  Distributed
+of each minimum, by a bound of several standard errors, rules pairs out before their texts are moved, in the rounds
+after the first as a condition of the join that would make the pair.  Distributed
 union-find joins the links.  A bucket whose lines then hang together is done; in any other one, lines outside
 of its largest group meet all others as leaders, up to 64 of them, then sixteen times as many, and so on until
 all hang together or all have met.  There the sets' sizes and a parity sketch, which never rules out a pair that
@@ -210,41 +210,38 @@ def similar(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) ->
     return sizes.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("key", "lead")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("key", "lead")).alias("key"))
+
+
 def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: int, leaders: int = 64) -> DataFrame:
     """(a, b) keys of lines whose sets share at least ``percent`` percent of their union."""
     places = band_places(n_bands, n_rows)
     signed = stored(minima(lines, width=width, places=places), "line-minima")
     # One exchange finds the lines that share a bucket; of a bucket only keys are sorted, and spilled if they are many.
-    members = signed.select("key", F.explode(band_hashes(places)).alias("bucket"))
-    pending = stored(members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1"), "line-members")
+    members, same = signed.select("key", F.explode(band_hashes(places)).alias("bucket")), Window.partitionBy("bucket")
+    pending = stored(members.withColumn("size", F.count(F.lit(1)).over(same)).filter("size > 1"), "line-members")
     # A line that meets many others is the best centre of its buckets.
-    degree = stored(pending.groupBy("key").agg(F.sum("size").alias("degree")), "line-degrees")
-    # Sketch and degree of a line go along with its places, so that a pair is ruled out where it would be made.
-    names = minima_names(places)
-    traits = signed.select("key", sketch([F.col(m) for m in names]).alias("x"), "seen").join(degree, "key")
-    pending = stored(pending.join(traits, "key").withColumn("root", F.col("key")), "line-members")
-    # The centre takes what is compared along, so that members are not moved once more to find its row.
-    centre = F.max_by(F.struct("key", "root", "x", "seen"), F.col("degree") * SLOTS + _slot("key")).alias("centre")
-    drawn = pending.groupBy(*rejoin_keys("bucket")).agg(centre).select("bucket", "centre.*")
-    pending = pending.drop("degree")
+    degree = pending.groupBy("key").agg(F.sum("size").alias("degree"))
+    centre = F.max_by("key", F.col("degree") * SLOTS + _slot("key")).over(same).alias("centre")
+    first = pending.select("key", "bucket").join(degree, "key").select("key", centre).filter("key != centre")
+    first = first.select(F.greatest("key", "centre").alias("key"), F.least("key", "centre").alias("lead")).distinct()
+    traits = only_near(signed, pending).select("key", sketch([F.col(m) for m in minima_names(places)]).alias("x"), "seen")
+    traits = stored(traits, "line-traits")
+    # Pairs of a member and its centre are no more than members; both sketches come to a pair, not to all places of a line.
+    other = traits.select(F.col("key").alias("lead"), F.col("x").alias("y"), F.col("seen").alias("met"))
+    pairs = stored(first.join(traits, "key").join(other, "lead").filter(may_reach(percent)).select("key", "lead"), "line-pairs")
+    # Texts are moved for lines that were paired or may be, not for all that share a bucket with one other line.
+    pending = pending.filter("size > 2").select("key", "bucket")
+    wanted = _ends(pairs).unionByName(pending.select("key")).distinct()
+    texts = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
+    texts = stored(texts.select("key", "line"), "line-texts")
     found, count = None, 0
     while True:
-        lead = drawn.select(F.col("bucket").alias("at"), F.col("key").alias("lead"), F.col("root").alias("lead_root"), F.col("x").alias("y"), F.col("seen").alias("met"),
-                            *([F.col("n").alias("m"), F.col("o").alias("q")] if count else []))
-        # Lines that hang together already need not meet again; what may not reach the threshold never leaves the join.
-        near = may_reach(percent) & can_reach(percent) if count else may_reach(percent)
-        met = pending.join(lead, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("lead_root")) & near)
-        pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
-        ends = pairs.select(F.explode(F.array("key", "lead")).alias("key"))
-        if not count:
-            # Texts are moved for lines that were paired or may be, not for all that share a bucket with one other line.
-            wanted = ends.unionByName(pending.filter("size > 2").select("key")).distinct()
-            texts = only_near(lines.select("key", "line"), wanted).join(wanted, "key", "left_semi").groupBy("key", "line").agg(F.lit(1))
-            texts = stored(texts.select("key", "line"), "line-texts")
-        # Later rounds pair few of the lines, and only texts of about those are moved.
-        taken = stored(similar(pairs, only_near(texts, ends) if count else texts, width=width, percent=percent), "line-links")
+        # Rounds pair some of the lines, and only texts of about those are moved.
+        taken = stored(similar(pairs, only_near(texts, _ends(pairs)), width=width, percent=percent), "line-links")
         found = taken if found is None else found.unionByName(taken)
-        pending = pending.filter(F.col("outside") > count).drop("most", "outside") if count else pending.filter("size > 2")
+        pending = pending.filter(F.col("outside") > count).drop("most", "outside") if count else pending
         if pending.isEmpty():
             return found.select(F.col("key").alias("a"), F.col("lead").alias("b"))
         # A bucket that hangs together has no link left that would matter.  In any other one, lines outside of the largest
@@ -255,15 +252,20 @@ def links(lines: DataFrame, *, width: int, n_bands: int, n_rows: int, percent: i
         apart = groups.groupBy(*rejoin_keys("bucket")).agg(F.max_by("root", "rows").alias("most"), (F.sum("rows") - F.max("rows")).alias("outside")).drop("__spread")
         pending = placed.join(apart.filter("outside > 0"), "bucket")
         if not count:
-            # Only lines of such buckets get the larger sketch that rules pairs out for certain.
+            # Only lines of such buckets get their sketches along, and the larger one that rules pairs out for certain.
             pending = stored(pending, "line-members")
-            exact = parities(texts.join(pending.select("key").distinct(), "key", "left_semi"), width)
-            pending = pending.join(exact, "key")
+            exact = parities(only_near(texts, pending).join(pending.select("key").distinct(), "key", "left_semi"), width)
+            pending = pending.join(only_near(traits, pending).join(exact, "key"), "key")
         pending = stored(pending, "line-members")
         if pending.isEmpty():
             return found.select(F.col("key").alias("a"), F.col("lead").alias("b"))
         count = max(leaders, 16 * count)
         drawn = pending.filter((F.col("root") != F.col("most")) & (F.pmod(F.xxhash64("key", "bucket"), F.col("outside")) < count))
+        lead = drawn.select(F.col("bucket").alias("at"), F.col("key").alias("lead"), F.col("root").alias("lead_root"), F.col("x").alias("y"), F.col("seen").alias("met"),
+                            F.col("n").alias("m"), F.col("o").alias("q"))
+        # Lines that hang together already need not meet again; what may not reach the threshold never leaves the join.
+        met = pending.join(lead, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("lead_root")) & may_reach(percent) & can_reach(percent))
+        pairs = stored(met.select(F.greatest("key", "lead").alias("key"), F.least("key", "lead").alias("lead")).distinct(), "line-pairs")
 
 
 def decide(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, n_bands: int = 20, n_rows: int = 5,

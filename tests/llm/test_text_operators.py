@@ -549,6 +549,30 @@ def test_loose_copies_of_one_line_make_few_pairs(spark, monkeypatch):
     assert sum(pairs[1:]) < len(lines), pairs  # the first round is one centre to a bucket
 
 
+def test_rounds_move_texts_of_paired_lines_and_sketches_of_open_buckets_only(spark, monkeypatch):
+    """Lines that share buckets without being near: their texts go to no comparison, their sketches not along with every place."""
+    rng, moved, members, compare, real = random.Random(47), [], [], line_dedup.similar, line_dedup.stored
+    head = "".join(rng.choices("abcdefghijklmnop ", k=170))
+    lines = [head + "".join(rng.choices("abcdefghijklmnop ", k=100)) for _ in range(60)]
+    lines += [x[:-1] + "#" for x in lines[:5]]
+
+    def similar(pairs, texts, **options):
+        moved.append((texts.count(), pairs.select(F.explode(F.array("key", "lead"))).distinct().count()))
+        return compare(pairs, texts, **options)
+
+    monkeypatch.setattr(line_dedup, "similar", similar)
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: (members.append(df.columns) if name == "line-members" else 0, real(df, name))[1])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "key long, line string")
+    found = line_dedup.links(df, width=5, n_bands=20, n_rows=5, percent=80)
+    root = {r.node: r.root for r in graph.components(found, "a", "b").collect()}
+    groups = collections.defaultdict(set)
+    for i in range(len(lines)):
+        groups[root.get(i, i)].add(i)
+    assert {frozenset(g) for g in groups.values()} == want_groups(lines, 5)
+    assert all(texts == ends for texts, ends in moved) and 0 < moved[0][1] < len(lines), moved
+    assert len(members) > 2 and all("outside" in c for c in members if "x" in c), members
+
+
 def test_line_sets_are_built_once_and_sketches_are_compiled(spark):
     """A set that a filter writes out again is built again; a method beyond 8,000 bytes is interpreted."""
     df = spark.createDataFrame([(i, f"line number {i} of some that are long enough to be near copies") for i in range(4)], "key long, line string")
